@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, minhash, packing, token_files, tokens
+from . import exact_dedup, language, minhash, packing, token_files, tokens, toxicity
 from .common import fresh, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,6 +27,14 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.checksums(token_files.read_token_files(spark, path, columns=("doc_id", "start", "n_tokens", "ids")))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.judge(table(spark, sf_dir, "documents"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = exact_dedup.DigestIndex(spark, fresh(spark, "digest-index"))
     return exact_dedup.dedup(table(spark, sf_dir, "documents"), index).drop("row_no")
@@ -51,6 +59,8 @@ def queries() -> dict[str, Query]:
         "op1_minhash": op1_minhash,
         "op2_bpe_codec": op2_bpe_codec,
         "op3_token_files": op3_token_files,
+        "op6_toxicity": op6_toxicity,
+        "op8_language": op8_language,
         "op9_exact_dedup": op9_exact_dedup,
         "op10_packing": op10_packing,
     }

@@ -14,12 +14,14 @@ _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _BYTE[65:91] = _BYTE[97:123]
 _BLANK = np.zeros(256, bool)
 _BLANK[[32, *range(9, 14)]] = True
+#: For terms: everything ASCII that is no letter or digit divides; bytes from 128 on are letters.
+_DIVIDES = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 _POWERS = Powers(0x2545F4914F6CDD1D)
 
 
-def word_spans(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_spans(data: np.ndarray, at: np.ndarray, blank: np.ndarray = _BLANK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Begin and end of each word, and the number of words of each text."""
-    full = ~_BLANK[data]
+    full = ~blank[data]
     begin, end = full.copy(), full.copy()
     begin[1:] &= ~full[:-1]
     end[:-1] &= ~full[1:]
@@ -37,6 +39,27 @@ def word_hashes(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return _POWERS.slices(_BYTE[data], start, stop), n
 
 
+def distinct_terms(data: np.ndarray, at: np.ndarray, bits: int, stem: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct terms of each text, hashed to ``bits`` bits, end to end, and their number.
+
+    Terms are the words and, of words longer than ``stem`` bytes, their first ``stem`` bytes.
+    """
+    start, stop, n = word_spans(data, at, _DIVIDES)
+    values = _BYTE[data]
+    stop = np.stack([stop, np.minimum(stop, start + stem)], 1)
+    h = _POWERS.slices(values, np.repeat(start, 2), stop.ravel()).reshape(-1, 2)
+    h[:, 1] = np.where(stop[:, 0] > stop[:, 1], mix(h[:, 1] + np.uint64(1)), h[:, 0])
+    h = (h.ravel() >> np.uint64(64 - bits)).astype(np.int32)
+    n = 2 * n
+    cuts = np.concatenate([[0], np.cumsum(n)])
+    for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        h[s:e].sort()
+    new = np.ones(len(h), bool)
+    new[1:] = h[1:] != h[:-1]
+    new[cuts[:-1][n > 0]] = True
+    return h[new], _spread(new, cuts, n)
+
+
 def shingle_sets(data: np.ndarray, at: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """The distinct shingles of each text in ascending order, end to end, and their number.
 
