@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import exact_dedup, language, minhash, packing, token_files, tokens, toxicity
+from . import exact_dedup, language, minhash, packing, shards, sketch, token_files, tokens, toxicity, urls
 from .common import fresh, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,10 +28,37 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.checksums(token_files.read_token_files(spark, path, columns=("doc_id", "start", "n_tokens", "ids")))
 
 
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"))
+
+
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sketch.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+ARRIVALS = 4
+
+
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the committed version, after all arrivals and the compaction."""
+    docs, root = table(spark, sf_dir, "documents"), fresh(spark, "shards")
+    store = shards.ShardSet(spark, root)
+    for k in range(ARRIVALS):
+        store.append(docs.withColumn("arrival", F.pmod("doc_id", F.lit(ARRIVALS)).cast("int")).where(f"arrival = {k}"))
+    store.compact()
+    store.vacuum()
+    return store.read().select("doc_id", "arrival", "lang", "source", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+
+
+OP7_SQL = """
+SELECT doc_id, CAST(doc_id % 4 AS INTEGER) AS arrival, lang, source, sha256(coalesce(text, '')) AS text_sha256 FROM documents
+"""
+
+
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.judge(table(spark, sf_dir, "documents"))
 
@@ -59,7 +87,10 @@ def queries() -> dict[str, Query]:
         "op1_minhash": op1_minhash,
         "op2_bpe_codec": op2_bpe_codec,
         "op3_token_files": op3_token_files,
+        "op4_url_filter": op4_url_filter,
+        "op5_fingerprints": op5_fingerprints,
         "op6_toxicity": op6_toxicity,
+        "op7_sharding": op7_sharding,
         "op8_language": op8_language,
         "op9_exact_dedup": op9_exact_dedup,
         "op10_packing": op10_packing,
@@ -67,4 +98,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_exact_dedup": OP9_SQL}
+    return {"op7_sharding": OP7_SQL, "op9_exact_dedup": OP9_SQL}
