@@ -1,15 +1,16 @@
 """Document fingerprints as invertible Bloom lookup tables, with SQL expressions alone.
 
-A text is the set of 64-bit digests of its paragraphs: its lines, and the sentences of a
-line.  A table has three rows of ``WIDTH`` cells; a digest is in one cell of each row.  A
+A text is the set of 64-bit digests of its paragraphs: its lines, and the parts of a line that
+begin after the end of a sentence with a letter from A to L.  A table has three rows of ``WIDTH`` cells; a digest is in one cell of each row.  A
 cell has the number of its digests, their xor and the xor of their check sums.  Two
 tables subtract cell by cell, which leaves the digests that only one has, and peeling
 takes out the digest of a cell that has just one until none is left.
 
 The fingerprint is one table of fixed size.  When the difference of two is more than
-it can give back, larger ones are made: digests are dealt over groups by their leading
-bits and each group has a table; first as many groups as the two sets can need, then
-``MORE`` times as many, and what even those don't give back is compared digest by digest.
+it can give back, a larger one is made: digests are dealt over groups by some of their
+bits, as many groups as the two sets can need, and each group has a table.  A group whose
+table fails gets one of twice the width, ``LARGER - 1`` times; the few digests of a group
+that fails even then are compared one by one.
 
 Defined cases: a null text is an empty text, which has no digests; two empty texts are
 alike (1.0); a null doc_id is the smallest; rows with the same doc_id have the same next
@@ -25,17 +26,16 @@ from pyspark.sql import functions as F
 
 from .common import kept, parallelism
 
-WIDTH, ROUNDS, GROUP_LOAD, MORE = 8, 6, 8, 4
+WIDTH, GROUP_WIDTH, ROUNDS, GROUP_LOAD, LARGER = 8, 4, 4, 3, 3
 _NONE = -(1 << 63)
 _CELL = "named_struct('n', {n}, 'k', {k}, 'c', {c})"
 _ZERO = _CELL.format(n="0", k="0L", c="0L")
-#: Whether digest x is in cell j of 3 * WIDTH.
-_IN = f"(shiftrightunsigned({{x}}, 8 * ({{j}} div {WIDTH})) & {WIDTH - 1}) = {{j}} % {WIDTH}"
+_PLACES = ("p", "q", "r")
 
 
 def digests(text: str) -> str:
     """The distinct paragraph digests of a text expression."""
-    return f"array_distinct(transform(filter(split({text}, '\\\\n|(?<=[.!?])[ \\\\t]+'), p -> p <> ''), p -> xxhash64(p)))"
+    return f"array_distinct(transform(filter(split({text}, '\\\\n|(?<=[.!?])[ \\\\t]+(?=[A-L])'), p -> p <> ''), p -> xxhash64(p)))"
 
 
 def let(name: str, value: str, body: str) -> str:
@@ -43,58 +43,76 @@ def let(name: str, value: str, body: str) -> str:
     return f"element_at(transform(array({value}), {name} -> {body}), 1)"
 
 
-def cells(items: str) -> str:
-    """The table of an array of (s: +1 or -1, x: digest)."""
-    add = _CELL.format(n="a.n + i.s", k="a.k ^ i.x", c="a.c ^ xxhash64(i.x)")
-    return f"transform(sequence(0, {3 * WIDTH - 1}), j -> aggregate(filter({items}, i -> {_IN.format(x='i.x', j='j')}), {_ZERO}, (a, i) -> {add}))"
+def item(sign: str, x: str, width: int) -> str:
+    """A digest with its sign, its check sum and its cell in each row of a table."""
+    at = ", ".join(f"'{name}', cast(shiftrightunsigned({x}, {8 * k}) & {width - 1} AS INT)" for k, name in enumerate(_PLACES))
+    return f"named_struct('s', {sign}, 'x', {x}, 'c', xxhash64({x}), {at})"
 
 
-def signed(array: str, sign: int) -> str:
-    return f"transform({array}, x -> named_struct('s', {sign}, 'x', x))"
+def items(array: str, sign: int, width: int) -> str:
+    return f"transform({array}, x -> {item(str(sign), 'x', width)})"
+
+
+def table(items: str, width: int) -> str:
+    """The three rows of cells of an array of :func:`item`."""
+    add = _CELL.format(n="a.n + i.s", k="a.k ^ i.x", c="a.c ^ i.c")
+    rows = (f"'{f}', transform(sequence(0, {width - 1}), j -> aggregate(filter({items}, i -> i.{f} = j), {_ZERO}, (a, i) -> {add}))" for f in _PLACES)
+    return f"named_struct({', '.join(rows)})"
 
 
 def subtract(a: str, b: str) -> str:
-    return f"zip_with({a}, {b}, (p, q) -> {_CELL.format(n='p.n - q.n', k='p.k ^ q.k', c='p.c ^ q.c')})"
+    cell = _CELL.format(n="u.n - v.n", k="u.k ^ v.k", c="u.c ^ v.c")
+    return "named_struct(" + ", ".join(f"'{f}', zip_with({a}.{f}, {b}.{f}, (u, v) -> {cell})" for f in _PLACES) + ")"
 
 
-def peel(table: str) -> str:
+def peel(table: str, width: int) -> str:
     """named_struct(plus, minus): how many digests only the one and only the other side has;
     null where a cell is left."""
-    take = _CELL.format(n="a.n - i.s", k="a.k ^ i.x", c="a.c ^ xxhash64(i.x)")
-    state = "named_struct('t', {t}, 'p', {p}, 'm', {m})"
-    pure = "array_distinct(transform(filter(st.t, c -> abs(c.n) = 1 AND c.c = xxhash64(c.k)), c -> named_struct('s', c.n, 'x', c.k)))"
-    less = f"transform(st.t, (c, j) -> aggregate(filter(found, i -> {_IN.format(x='i.x', j='j')}), c, (a, i) -> {take}))"
-    after = state.format(t=less, p="st.p + size(filter(found, i -> i.s = 1))", m="st.m + size(filter(found, i -> i.s = -1))")
-    step = let("found", pure, f"if(size(found) = 0, st, {after})")
+    take = _CELL.format(n="a.n - i.s", k="a.k ^ i.x", c="a.c ^ i.c")
+    state = "named_struct('t', {t}, 'plus', {p}, 'minus', {m})"
+    one = "abs(c.n) = 1 AND c.c = xxhash64(c.k)"
+    pure = "concat(" + ", ".join(f"filter(st.t.{f}, c -> {one})" for f in _PLACES) + ")"
+    found = f"array_distinct(transform({pure}, c -> {item('c.n', 'c.k', width)}))"
+    less = "named_struct(" + ", ".join(f"'{f}', transform(st.t.{f}, (c, j) -> aggregate(filter(found, i -> i.{f} = j), c, (a, i) -> {take}))" for f in _PLACES) + ")"
+    after = state.format(t=less, p="st.plus + size(filter(found, i -> i.s = 1))", m="st.minus + size(filter(found, i -> i.s = -1))")
+    step = let("found", found, f"if(size(found) = 0, st, {after})")
     end = f"aggregate(sequence(1, {ROUNDS}), {state.format(t=table, p='0', m='0')}, (st, r) -> {step})"
-    return let("e", end, "if(exists(e.t, c -> c.n <> 0 OR c.k <> 0 OR c.c <> 0), NULL, named_struct('plus', e.p, 'minus', e.m))")
+    return let("e", end, "if(exists(e.t.p, c -> c.n <> 0 OR c.k <> 0 OR c.c <> 0), NULL, named_struct('plus', e.plus, 'minus', e.minus))")
+
 
+def dealt(a: str, b: str) -> str:
+    """How many digests only one of two arrays has, over as many groups as the arrays may need.
 
-def dealt(a: str, b: str, more: int) -> str:
-    """:func:`peel` over groups of the digests of two arrays, as many as the arrays may need."""
-    side = f"cast(ceil(sqrt((size({a}) + size({b})) * {more} / {GROUP_LOAD}D)) AS INT)"
-    items = f"concat({signed(a, 1)}, {signed(b, -1)})"
-    one = let("own", "filter(part, i -> pmod(shiftrightunsigned(i.x, 44), width) = g)", f"if(size(own) = 0, named_struct('plus', 0, 'minus', 0), {peel(cells('own'))})")
+    A group whose table can't be peeled gets one of twice the width, and again; after the last,
+    its few digests are compared.
+    """
+    side = f"cast(ceil(sqrt((size({a}) + size({b})) / {GROUP_LOAD}D)) AS INT)"
+    every = f"concat(transform({a}, x -> named_struct('s', 1, 'x', x, 'h', cast(pmod(shiftrightunsigned(x, 24) & 1048575, width) AS INT), 'g', cast(pmod(shiftrightunsigned(x, 44), width) AS INT))), transform({b}, x -> named_struct('s', -1, 'x', x, 'h', cast(pmod(shiftrightunsigned(x, 24) & 1048575, width) AS INT), 'g', cast(pmod(shiftrightunsigned(x, 44), width) AS INT))))"
+    tries = [peel(table(f"transform(own, i -> {item('i.s', 'i.x', GROUP_WIDTH << k)})", GROUP_WIDTH << k), GROUP_WIDTH << k) for k in range(LARGER)]
+    left, right = ("transform(filter(own, i -> i.s = {s}), i -> i.x)".format(s=s) for s in (1, -1))
+    exact = f"named_struct('plus', size(array_except({left}, {right})), 'minus', size(array_except({right}, {left})))"
+    one = let("own", "filter(part, i -> i.g = g)", f"if(size(own) = 0, named_struct('plus', 0, 'minus', 0), coalesce({', '.join(tries)}, {exact}))")
     total = "named_struct('plus', u.plus + v.plus, 'minus', u.minus + v.minus)"
-    inner = f"aggregate(transform(sequence(0, width - 1), g -> {one}), named_struct('plus', 0, 'minus', 0), (u, v) -> {total})"
-    outer = f"transform(sequence(0, width - 1), h -> {let('part', 'filter(every, i -> pmod(shiftrightunsigned(i.x, 24) & 1048575, width) = h)', inner)})"
-    whole = f"aggregate({outer}, named_struct('plus', 0, 'minus', 0), (u, v) -> {total})"
-    return let("width", f"greatest(1, {side})", let("every", items, whole))
+    zero = "named_struct('plus', 0, 'minus', 0)"
+    inner = f"aggregate(transform(sequence(0, width - 1), g -> {one}), {zero}, (u, v) -> {total})"
+    outer = f"transform(sequence(0, width - 1), h -> {let('part', 'filter(every, i -> i.h = h)', inner)})"
+    return let("width", f"greatest(1, {side})", let("every", every, f"aggregate({outer}, {zero}, (u, v) -> {total})"))
 
 
 def likeness(a: str, b: str, table_a: str, table_b: str) -> Column:
-    """Shared over all digests of two columns of digests, whose fingerprints are given too."""
-    def right(d: str) -> str:  # what was peeled must fit the sizes of the sets
-        return let("diff", d, f"if(size({a}) - diff.plus = size({b}) - diff.minus AND size({a}) >= diff.plus, diff, NULL)")
+    """Shared over all digests of two columns of digests, whose fingerprints are given too.
 
-    exact = f"named_struct('plus', size(array_except({a}, {b})), 'minus', size(array_except({b}, {a})))"
-    found = f"coalesce({right(peel(subtract(table_a, table_b)))}, {right(dealt(a, b, 1))}, {right(dealt(a, b, MORE))}, {exact})"
-    return F.expr(let("z", found, f"if(size({a}) + z.minus = 0, 1D, (size({a}) - z.plus) / cast(size({a}) + z.minus AS DOUBLE))"))
+    Sets whose sizes alone differ by more than a fingerprint can give back go straight to the
+    larger tables.
+    """
+    fits = "size({a}) - diff.plus = size({b}) - diff.minus AND size({a}) >= diff.plus".format(a=a, b=b)
+    small = f"if(abs(size({a}) - size({b})) > {2 * WIDTH}, NULL, {let('diff', peel(subtract(table_a, table_b), WIDTH), f'if({fits}, diff, NULL)')})"
+    return F.expr(let("z", f"coalesce({small}, {dealt(a, b)})", f"if(size({a}) + z.minus = 0, 1D, (size({a}) - z.plus) / cast(size({a}) + z.minus AS DOUBLE))"))
 
 
 def hexed(table: str, n: str) -> Column:
     cell = "concat(lpad(hex(c.n), 4, '0'), lpad(hex(c.k), 16, '0'), lpad(hex(c.c), 16, '0'))"
-    return F.lower(F.expr(f"concat(lpad(hex({n}), 8, '0'), array_join(transform({table}, c -> {cell}), ''))"))
+    return F.lower(F.expr(f"concat(lpad(hex({n}), 8, '0'), array_join(transform(concat({', '.join(f'{table}.{f}' for f in _PLACES)}), c -> {cell}), ''))"))
 
 
 def neighbours(df: DataFrame) -> DataFrame:
@@ -140,7 +158,7 @@ def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     out = texts.join(sent, "k").withColumn("n", F.char_length("text"))
     out = out.withColumn("edited", F.expr("concat(left(text, n - n div 3), left(head, cast(n div 3 AS INT)))"))
     out = out.withColumns({"own_d": F.expr(digests("text")), "edited_d": F.expr(digests("edited"))})
-    plain = {name: F.expr(cells(signed(d, 1))) for name, d in (("own_t", "own_d"), ("edited_t", "edited_d"), ("next_t", "next_d"))}
+    plain = {name: F.expr(let("every", items(d, 1, WIDTH), table("every", WIDTH))) for name, d in (("own_t", "own_d"), ("edited_t", "edited_d"), ("next_t", "next_d"))}
     out = out.select("k", "n", F.sha2("edited", 256).alias("edited_sha256"), "own_d", "edited_d", "next_d").withColumns(plain)
     return out.select(
         F.nullif(F.col("k"), F.lit(_NONE)).alias("doc_id"),
