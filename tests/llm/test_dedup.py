@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pytest
@@ -79,7 +80,12 @@ def test_near_duplicates_of_odd_rows(odd, none):
 
 
 def test_match_threshold():
-    assert [minhash.match_threshold(x) for x in (0.85, 0.8)] == [14, 11]
+    """By the definition: below T with a probability of at most LOSS, which T + 1 would exceed."""
+    below = lambda s, t: sum(comb(minhash.COORDINATES, k) * s**k * (1 - s) ** (minhash.COORDINATES - k) for k in range(t))
+    for s in (0.85, 0.8, 0.5):
+        t = minhash.match_threshold(s)
+        assert below(s, t) <= minhash.LOSS < below(s, t + 1)
+    assert [minhash.match_threshold(x) for x in (0.85, 0.8)] == [13, 11]
 
 
 def test_components(spark):

@@ -18,6 +18,23 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
 
 
+OP1_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') ws FROM documents
+), s AS MATERIALIZED (
+  SELECT doc_id, CASE WHEN len(ws) < 3 THEN list_distinct([array_to_string(ws, ' ')])[1:len(ws)]
+    ELSE list_distinct(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])) END sh FROM w
+), x AS MATERIALIZED (SELECT doc_id, unnest(sh) g, len(sh) n FROM s),
+p AS MATERIALIZED (
+  SELECT a.doc_id a, b.doc_id b FROM x a JOIN x b ON a.g = b.g AND a.doc_id < b.doc_id AND 100 * a.n >= 85 * b.n AND 100 * b.n >= 85 * a.n
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))
+), e AS MATERIALIZED (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
+r AS (SELECT doc_id node, doc_id label FROM documents UNION SELECT e.b, r.label FROM r JOIN e ON e.a = r.node WHERE r.label < e.b),
+c AS (SELECT node, min(label) label FROM r GROUP BY node)
+SELECT s.doc_id, CAST(len(sh) AS BIGINT) n_shingles, c.label component_id, s.doc_id = c.label kept FROM s JOIN c ON c.node = s.doc_id
+"""
+
+
 def op2_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -98,4 +115,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_sharding": OP7_SQL, "op9_exact_dedup": OP9_SQL}
+    return {"op1_minhash": OP1_SQL, "op7_sharding": OP7_SQL, "op9_exact_dedup": OP9_SQL}
