@@ -46,9 +46,10 @@ def locate(records: DataFrame, files: DataFrame) -> DataFrame:
     """Paths as the root has them: a record's path, or the first of the folders above its report,
     from the report up, under which there is such a file; else the path as it stands."""
     above = F.expr("transform(sequence(size(split(source, '/')) - 1, 0, -1), n -> array_join(slice(split(source, '/'), 1, n), '/'))")
-    rows = records.withColumn("no", F.monotonically_increasing_id()).withColumn("tried", F.expr("concat(array(path), transform(ups, u -> if(u = '', path, concat(u, '/', path))))") if "ups" in records.columns else F.concat(F.array("path"), F.transform(above, lambda u: F.when(u == "", F.col("path")).otherwise(F.concat(u, F.lit("/"), F.col("path"))))))
-    hit = rows.select("no", F.posexplode("tried").alias("nth", "at")).join(files.select(F.col("path").alias("at")), "at", "left_semi").groupBy("no").agg(F.min(F.struct("nth", "at")).alias("best"))
-    return rows.join(hit, "no", "left").select(*[c for c in records.columns if c != "path"], F.coalesce("best.at", "path").alias("path"))
+    key = records.select("source", "path").distinct()
+    tried = F.concat(F.array("path"), F.transform(above, lambda u: F.when(u == "", F.col("path")).otherwise(F.concat(u, F.lit("/"), F.col("path")))))
+    hit = key.select("source", "path", F.posexplode(tried).alias("nth", "at")).join(files.select(F.col("path").alias("at")), "at", "left_semi").groupBy("source", "path").agg(F.min(F.struct("nth", "at")).alias("best"))
+    return records.join(hit, ["source", "path"], "left").select(*[c for c in records.columns if c != "path"], F.coalesce("best.at", "path").alias("path"))
 
 
 def skip_ratio(tests: DataFrame) -> DataFrame:

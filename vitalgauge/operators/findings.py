@@ -66,13 +66,13 @@ def decorate(findings: DataFrame, hot: DataFrame) -> DataFrame:
     """Sets ``hotspot`` where the place, or one of the places, of a finding is hot in its own
     family.  hot: family, path.
 
-    Few paths are hot; each finding's places are exploded with its row number and met by one
-    semi-join, so a hot path's findings aren't gathered.
+    Whether a finding is hot follows from its family and its places alone, so those are the
+    key: the few hot paths meet each distinct set of places by one semi-join.
     """
-    rows = findings.withColumn("no", F.monotonically_increasing_id()).withColumn("fam", family(F.col("metric")))
-    at = rows.select("no", "fam", F.explode(F.array_distinct(F.concat(F.array("location.file"), F.col("locations.file")))).alias("path"))
-    yes = at.join(hot.select(F.col("family").alias("fam"), "path").distinct(), ["fam", "path"], "left_semi").select("no").distinct().withColumn("yes", F.lit(True))
-    out = rows.join(yes, "no", "left").withColumn("hotspot", F.coalesce("yes", F.lit(False)))
+    rows = findings.withColumns({"fam": family(F.col("metric")), "places": F.array_distinct(F.concat(F.array("location.file"), F.col("locations.file")))})
+    at = rows.select("fam", "places").distinct().withColumn("path", F.explode("places"))
+    yes = at.join(hot.select(F.col("family").alias("fam"), "path").distinct(), ["fam", "path"], "left_semi").select("fam", "places").distinct().withColumn("yes", F.lit(True))
+    out = rows.join(yes, ["fam", "places"], "left").withColumn("hotspot", F.coalesce("yes", F.lit(False)))
     return out.select(*findings.columns)
 
 

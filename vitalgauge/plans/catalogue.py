@@ -11,6 +11,7 @@ from ..functions import markup, paths
 from ..operators import calibration, churn, coupling, coverage, docs, duplication, findings, graphs, hotspots, ranking, state
 from ..params import Params
 from ..sources import tables
+from . import lowering
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -603,6 +604,19 @@ def loc_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.by_language(files.line_counts(_sources(spark)))
 
 
+@query(f"""{HOT}, q AS (SELECT quantile_cont(score, 0.9) p90 FROM hs), hp AS (SELECT path FROM hs CROSS JOIN q WHERE score >= 22 AND score >= p90), {CLASSIFIED.removeprefix(f"WITH {FN}, ")},
+f AS (SELECT metric, path file, "name" symbol, severity, CASE metric WHEN 'ccn' THEN 'CCN=' ELSE 'Cognitive=' END || CAST("value" AS BIGINT) || ' ' || "name" || ' (sql)' summary FROM s WHERE "value" > 0
+  UNION ALL SELECT 'hotspot', path, NULL, 'ok', 'hotspot score=' || CAST(score AS BIGINT) || ' (ccn_sum=' || ccn_sum || ', churn=' || commits || ')' FROM hs),
+g AS (SELECT *, file IN (SELECT path FROM hp) hotspot FROM f)
+SELECT *, CASE WHEN severity = 'ok' THEN NULL WHEN severity = 'critical' AND hotspot THEN 'must' WHEN severity = 'critical' OR (severity = 'high' AND hotspot) THEN 'should' ELSE 'advisory' END tier FROM g""")
+def status_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All findings of two reports, from their values to their tiers."""
+    none = F.lit(None).cast("long")
+    fn = tables.functions(spark, sf_dir).withColumns({"language": F.lit("sql"), "start_byte": F.lit(0), "start_line": none, "end_line": none}).drop("cohort")
+    out = lowering.status({"functions": fn, "hotspot": _hotspots(spark, sf_dir)})
+    return out.select("metric", F.col("location.file").alias("file"), F.col("location.symbol").alias("symbol"), "severity", "summary", "hotspot", "tier")
+
+
 @query(f"{HOT}, q AS (SELECT quantile_cont(score, 0.9) p90 FROM hs) SELECT path, commits, ccn_sum, score, score >= 22 AND score >= p90 hot FROM hs CROSS JOIN q ORDER BY score DESC, string_split(path, '/') LIMIT 20")
 def status_hotspots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: the code base's hottest files against its own distribution."""
