@@ -2,7 +2,8 @@
 
 ``append`` writes an arrival as small shards.  ``compact`` merges runs of shards of similar
 size (a tier: the power of ``fanout`` below the shard's bytes) into files of about
-``target`` bytes, until no tier under the target has ``fanout`` shards.  Either ends in a
+``target`` bytes, until no tier under half the target has ``fanout`` shards; larger shards
+are done and not written again.  Either ends in a
 commit: the manifest of the next version is written aside and renamed to its name, which
 fails if another writer has taken that version.  Readers open one version; files that no
 retained version lists go in ``vacuum``.  A merge moves no row between tasks: each task
@@ -102,7 +103,7 @@ class ShardSet:
         """The shards of the lowest tier that has enough of them."""
         tiers: dict[int, list[Shard]] = {}
         for s in shards:
-            if s.bytes < self.target:
+            if 2 * s.bytes < self.target:
                 tiers.setdefault(int(math.log(max(s.bytes, 1), self.fanout)), []).append(s)
         return next((t for _, t in sorted(tiers.items()) if len(t) >= self.fanout), [])
 
