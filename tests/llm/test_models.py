@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from conftest import SF
 
-from vitalgauge.llm import language, shards, sketch, toxicity, urls
+from vitalgauge.llm import language, queries, shards, sketch, toxicity, urls
 from vitalgauge.llm.common import fresh
 
 URLS = [
@@ -71,6 +71,41 @@ def test_fingerprints(docs, odd, none):
     assert "Python" not in sketch.fingerprints(odd)._jdf.queryExecution().executedPlan().toString()
 
 
+def sentences(text):
+    """Every sentence, by a scan of the letters instead of the operator's expression."""
+    out, part, i = set(), "", 0
+    ends, closers, solid, blanks = ".!?\u2026\u0589\u061f\u06d4\u0964\u0965\u104b\u1362\u17d4", "\"')]\u00bb\u2019\u201d", "\u3002\uff01\uff1f\uff61", " \t\u00a0\u3000"
+    while i < len(text):
+        c = text[i]
+        body = text[i - 1] if i else ""
+        behind = text[i - 2] if i > 1 else ""
+        if c == "\n" or (c in blanks and body and (body in ends or (body in closers and behind and behind in ends))):
+            out.add(part)
+            part, i = "", i + 1
+            while c != "\n" and i < len(text) and text[i] in blanks:
+                i += 1
+            continue
+        part, i = part + c, i + 1
+        if c in solid and not (i < len(text) and text[i] in solid + "\u300d\u300f\u2019\u201d\uff09"):
+            out.add(part)
+            part = ""
+    return (out | {part}) - {""}
+
+
+def test_the_query_cuts_at_every_sentence(spark, tmp_path):
+    """Sentences that begin with any letter, a digit or a small letter, in several scripts."""
+    texts = ["One is. Many are. Never was. 3 came. small went. Zoë left. Été came. Two more. Nine.", "Привет мир. Как дела? Хорошо! Да. Нет. Вот. Там. Тут. Где.", "一つ。二つ！三つ？四つ。五つ。六つ。七つ。八つ。", 'He said "Stop." Then (so.) We went. مرحبا؟ نعم۔ एक। दो।', "X.\nY!  Z. no end"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in queries.op5_fingerprints(spark, str(tmp_path)).collect()}
+    for i, t in enumerate(texts):
+        after = texts[(i - 1) % len(texts)]
+        edited = t[: len(t) - len(t) // 3] + after[: len(t) // 3]
+        for name, other in (("near_edited", edited), ("near_next", after)):
+            a, b = sentences(t), sentences(other)
+            assert got[i][name] == pytest.approx(len(a & b) / len(a | b)), (i, name)
+    assert all(got[i]["near_edited"] > 0.3 for i in range(3))
+
+
 def test_peeling_fails_and_grows(spark):
     """Two sets of many hundreds of digests: the fingerprint can't hold them, the groups' tables can."""
     df = spark.createDataFrame([(list(range(700)), list(range(350, 1000)))], "a array<long>, b array<long>").selectExpr("transform(a, x -> xxhash64(x)) a", "transform(b, x -> xxhash64(x)) b")

@@ -50,7 +50,7 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sketch.fingerprints(table(spark, sf_dir, "documents"))
+    return sketch.fingerprints(table(spark, sf_dir, "documents"), boundary=sketch.SENTENCES)
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

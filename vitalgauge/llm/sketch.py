@@ -1,7 +1,7 @@
 """Document fingerprints as invertible Bloom lookup tables, with SQL expressions alone.
 
-A text is the set of 64-bit digests of its paragraphs: its lines, and the parts of a line that
-begin after the end of a sentence with a letter from A to L.  A table has three rows of ``WIDTH`` cells; a digest is in one cell of each row.  A
+A text is the set of 64-bit digests of its paragraphs: its lines, and in a line its sentences, in
+any script (``SENTENCES``; ``COARSE`` cuts at about every second one).  A table has three rows of ``WIDTH`` cells; a digest is in one cell of each row.  A
 cell has the number of its digests, their xor and the xor of their check sums.  Two
 tables subtract cell by cell, which leaves the digests that only one has, and peeling
 takes out the digest of a cell that has just one until none is left.
@@ -31,11 +31,17 @@ _NONE = -(1 << 63)
 _CELL = "named_struct('n', {n}, 'k', {k}, 'c', {c})"
 _ZERO = _CELL.format(n="0", k="0L", c="0L")
 _PLACES = ("p", "q", "r")
+#: Where a text is cut: at line ends, after each mark that ends a sentence (and a closing quote or
+#: bracket) before blanks, and after the marks of scripts that are written without blanks.
+_BLANK = r"[ \t\u00A0\u3000]"
+SENTENCES = rf"\n|{_BLANK}(?<=[.!?\u2026\u0589\u061F\u06D4\u0964\u0965\u104B\u1362\u17D4][\x22\x27)\]\u00BB\u2019\u201D]?{_BLANK}){_BLANK}*|(?<=[\u3002\uFF01\uFF1F\uFF61])(?![\u3002\uFF01\uFF1F\uFF61\u300D\u300F\u2019\u201D\uFF09])"
+COARSE = r"\n|(?<=[.!?])[ \t]+(?=[A-L])"
 
 
-def digests(text: str) -> str:
+def digests(text: str, boundary: str = COARSE) -> str:
     """The distinct paragraph digests of a text expression."""
-    return f"array_distinct(transform(filter(split({text}, '\\\\n|(?<=[.!?])[ \\\\t]+(?=[A-L])'), p -> p <> ''), p -> xxhash64(p)))"
+    pattern = boundary.replace("\\", "\\\\")
+    return f"array_distinct(transform(filter(split({text}, '{pattern}'), p -> p <> ''), p -> xxhash64(p)))"
 
 
 def let(name: str, value: str, body: str) -> str:
@@ -143,7 +149,7 @@ def _long(x: int) -> str:
     return f"{x}L" if x > _NONE else f"cast('{x}' AS BIGINT)"
 
 
-def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text", boundary: str = COARSE) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
     The text is shuffled once, by doc_id; the next document sends its needed characters and its
@@ -154,10 +160,10 @@ def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     texts = rows.repartition("k")
     first = Window.partitionBy("k").orderBy(F.desc("text"))
     sent = texts.withColumn("nth", F.row_number().over(first)).where("nth = 1").join(nav, "k")
-    sent = sent.select(F.col("user").alias("k"), F.expr("left(text, cast(need AS INT))").alias("head"), F.expr(digests("text")).alias("next_d"))
+    sent = sent.select(F.col("user").alias("k"), F.expr("left(text, cast(need AS INT))").alias("head"), F.expr(digests("text", boundary)).alias("next_d"))
     out = texts.join(sent, "k").withColumn("n", F.char_length("text"))
     out = out.withColumn("edited", F.expr("concat(left(text, n - n div 3), left(head, cast(n div 3 AS INT)))"))
-    out = out.withColumns({"own_d": F.expr(digests("text")), "edited_d": F.expr(digests("edited"))})
+    out = out.withColumns({"own_d": F.expr(digests("text", boundary)), "edited_d": F.expr(digests("edited", boundary))})
     plain = {name: F.expr(let("every", items(d, 1, WIDTH), table("every", WIDTH))) for name, d in (("own_t", "own_d"), ("edited_t", "edited_d"), ("next_t", "next_d"))}
     out = out.select("k", "n", F.sha2("edited", 256).alias("edited_sha256"), "own_d", "edited_d", "next_d").withColumns(plain)
     return out.select(
