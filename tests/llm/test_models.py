@@ -6,9 +6,11 @@ import hashlib
 import re
 import zlib
 
+import duckdb
 import numpy as np
 import pytest
 from conftest import SF
+from pyspark.sql import functions as F
 
 from vitalgauge.llm import language, queries, shards, sketch, toxicity, urls
 from vitalgauge.llm.common import fresh
@@ -152,6 +154,16 @@ def test_odd_rows_survive_shards(spark, odd):
     assert store.read().count() == 2 * odd.count()
 
 
+def test_the_sharding_query_has_the_odd_rows(spark, odd, tmp_path):
+    """Null and negative ids too, as the SQL says."""
+    odd.union(odd.where("doc_id = 8").withColumn("doc_id", F.lit(-3).cast("long"))).write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.op7_sharding(spark, str(tmp_path))
+    want = duckdb.sql(queries.OP7_SQL.replace("FROM documents", f"FROM '{tmp_path}/documents.parquet/*.parquet'"))
+    names = [d[0] for d in want.description]
+    assert sorted((tuple(r) for r in got.select(names).collect()), key=str) == sorted(want.fetchall(), key=str)
+    assert {r["doc_id"] for r in got.collect()} >= {None, -3}
+
+
 def test_toxicity_held_out(spark, odd, none):
     sf = SF.replace("0.001", "0.1")
     docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
