@@ -9,6 +9,7 @@ from math import comb
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from vitalgauge.llm import exact_dedup, minhash
 from vitalgauge.llm.common import fresh
@@ -148,3 +149,21 @@ def test_kept_rows_keep_their_columns(spark, odd, tmp_path):
     out = exact_dedup.kept_rows(df, exact_dedup.DigestIndex(spark, fresh(spark, "index")))
     assert out.columns == df.columns
     assert out.count() == 11
+
+
+def test_rows_stay_whatever_the_order_of_a_second_scan(spark, tmp_path):
+    """The files are packed one way when the digests are made and another when the rows are read."""
+    spark.range(400).selectExpr("id AS doc_id", "concat('text ', id % 150, repeat(' x', cast(id % 150 % 7 AS INT) * 50)) AS text").repartition(6, "doc_id").write.parquet(f"{tmp_path}/in")
+    df = spark.read.parquet(f"{tmp_path}/in")
+    want = sorted(r[0] for r in df.groupBy("text").agg(F.max("doc_id")).select("max(doc_id)").collect())
+    key, least = "spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes"
+    was = {k: spark.conf.get(k) for k in (key, least)}
+    try:
+        spark.conf.set(key, "1g")
+        spark.conf.set(least, "0")
+        out = exact_dedup.kept_rows(df, exact_dedup.DigestIndex(spark, fresh(spark, "digest-index")))
+        spark.conf.set(key, "500")
+        assert sorted(r["doc_id"] for r in out.collect()) == want
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)

@@ -54,13 +54,14 @@ class DigestIndex:
         self.spark.catalog.refreshTable(self.name)
 
 
-def dedup(df: DataFrame, index: DigestIndex, key: str = "doc_id", text: str = "text") -> DataFrame:
+def dedup(df: DataFrame, index: DigestIndex, key: str = "doc_id", text: str = "text", number: str | None = None) -> DataFrame:
     """One row for each row of ``df``: row_no, doc_id, keep_id, group_size, kept, text_sha256.
 
     group_size counts this batch.  A text that the index held before keeps that row's id
-    and none of the batch.  row_no numbers the rows as they were read.
+    and none of the batch.  row_no is the column ``number``, or numbers the rows as they were read.
     """
-    digests = df.select(F.monotonically_increasing_id().alias("row_no"), F.col(key).cast("long").alias("doc_id"), F.unhex(F.sha2(normalised(F.col(text)), 256)).alias("digest"))
+    row_no = F.monotonically_increasing_id() if number is None else F.col(number)
+    digests = df.select(row_no.alias("row_no"), F.col(key).cast("long").alias("doc_id"), F.unhex(F.sha2(normalised(F.col(text)), 256)).alias("digest"))
     digests = kept(digests, "digests")
     groups = digests.groupBy("digest").agg(F.max(F.struct("doc_id", "row_no")).alias("top"), F.count("*").alias("group_size"))
     groups = kept(groups.select("digest", F.col("top.doc_id").alias("keep_id"), F.col("top.row_no").alias("keep_row"), "group_size"), "groups")
@@ -73,8 +74,9 @@ def dedup(df: DataFrame, index: DigestIndex, key: str = "doc_id", text: str = "t
 
 
 def kept_rows(df: DataFrame, index: DigestIndex, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``df`` that stay, with all their columns.  ``df`` reads a table, so that its
-    rows come in the same order each time."""
+    """The rows of ``df`` that stay, with all their columns.  They are numbered once and written
+    with their numbers, since another scan may read them in another order."""
     mine = "row_no_of_dedup"
-    stay = dedup(df, index, key, text).where("kept").select(F.col("row_no").alias(mine))
-    return df.withColumn(mine, F.monotonically_increasing_id()).join(stay, mine, "left_semi").drop(mine)
+    numbered = kept(df.withColumn(mine, F.monotonically_increasing_id()), "numbered")
+    stay = dedup(numbered, index, key, text, mine).where("kept").select(F.col("row_no").alias(mine))
+    return numbered.join(stay, mine, "left_semi").drop(mine)
