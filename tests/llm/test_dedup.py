@@ -62,7 +62,8 @@ def family(seed, n, words, edits):
 
 
 def test_large_groups_of_near_copies_are_cut_into_blocks(spark, monkeypatch):
-    monkeypatch.setattr(minhash.tasks, "__defaults__", (16,))
+    for name, value in (("LED", 16), ("BLOCK_MEMBERS", 8), ("BLOCK_BYTES", 4096)):
+        monkeypatch.setattr(minhash, name, value)
     texts = family(1, 90, 120, 9) + family(2, 30, 60, 4) + family(3, 40, 15, 2)
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = minhash.near_duplicates(df, 3, 85).collect()
@@ -97,21 +98,84 @@ def test_components(spark):
     assert components(df.limit(0)).count() == 0
 
 
-def test_links_dense_and_sparse_agree():
+def test_a_document_on_several_texts_links_them(spark):
+    """The rows of 7 join the classes of 3 and 5, whichever of them stands for its class."""
+    base, other = family(11, 2, 60, 0)[0], family(12, 1, 60, 0)[0]
+    near = base.rsplit(" ", 1)[0] + " z"
+    for rows in ([(3, base), (7, near), (7, other), (5, other)], [(9, base), (7, near), (7, other), (8, other), (2, "alone")], [(7, base), (7, base), (7, other), (7, None), (7, "")]):
+        got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect()
+        assert len(got) == len(rows)
+        assert {r["doc_id"]: r["component_id"] for r in got} == brute(rows, 3, 85)
+
+
+def thue_morse(n):
+    a = "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+    return a, a.translate({97: "b", 98: "a"})
+
+
+def test_words_that_collide_under_sums_of_powers_stay_apart(spark):
+    from vitalgauge.llm.shingles import distinct_terms, word_hashes
+
+    for n in (8, 200, 1024, 2048, 4096):
+        data = np.frombuffer(" ".join(thue_morse(n)).encode(), np.uint8)
+        h, words = word_hashes(data, np.array([0, len(data)]))
+        assert words.tolist() == [2] and h[0] != h[1]
+        assert distinct_terms(data, np.array([0, len(data)]), 20)[1][0] > 2
+    rows = [(k, w) for k, w in enumerate(thue_morse(1024))]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect()
+    assert all(r["kept"] for r in got)
+
+
+def test_recall_at_the_threshold():
+    """Of 20,000 pairs just at the similarity all have T collisions, as LOSS promises."""
+    from vitalgauge.llm.shingles import signatures
+
+    rng = np.random.default_rng(8)
+    for percent in (85, 80):
+        t, size = minhash.match_threshold(percent / 100), 185
+        own = size * (100 - percent) // (100 + percent)  # shingles of either side alone
+        lost = 0
+        for _ in range(20):
+            sets = rng.integers(1, 2**63, (1000, size + own)).astype(np.uint64)
+            left, right = sets[:, :size], sets[:, own:]
+            sig = [signatures(np.sort(x, 1).ravel(), np.full(1000, size), minhash.COORDINATES) for x in (left, right)]
+            assert 100 * (size - own) >= percent * (size + own) > 100 * (size - own - 2)
+            lost += int(((sig[0] == sig[1]).sum(1) < t).sum())
+        assert lost == 0
+
+
+def test_collisions_are_those_of_all_pairs():
+    rng = np.random.default_rng(4)
+    for wide in (3, 40, 4000):
+        a, b = (rng.integers(0, wide, (n, minhash.COORDINATES)).astype(np.uint32) for n in (70, 50))
+        b[:20] = np.where(rng.random((20, minhash.COORDINATES)) < 0.5, a[:20], b[:20])
+        for t in (1, 11, 13, 32):
+            x, y = minhash.collisions(a, b, t)
+            assert set(zip(x.tolist(), y.tolist(), strict=True)) == set(zip(*(k.tolist() for k in np.nonzero((a[:, None] == b[None]).sum(2) >= t)), strict=True))
+
+
+def test_links_are_a_forest_over_components():
     texts = family(5, 40, 80, 8)
     sets = [np.unique(np.array([hash(s) & 0xFFFFFFFFFFFF for s in shingles(t, 3)], np.uint64)) for t in texts]
     from vitalgauge.llm.shingles import signatures
 
     sig = signatures(np.concatenate(sets), np.array([len(s) for s in sets]), 32)
-    side = np.arange(40) % 2 == 0
-    found = minhash.links(sets, sig, side, False, 14, 85)
-    few = {tuple(sorted((a, b))) for i in range(0, 40, 4) for a, b in [(i + x, i + y) for x, y in minhash.links(sets[i : i + 4], sig[i : i + 4], side[:4], False, 14, 85)]}
-    root = lambda up, x: x if up[x] == x else root(up, up[x])
-    up = list(range(40))
-    for a, b in found:
-        up[max(root(up, a), root(up, b))] = min(root(up, a), root(up, b))
-    assert all(root(up, a) == root(up, b) for a, b in few)
-    assert len(found) < 40
+    members = [(k, k // 2, sig[k], sets[k]) for k in range(40)]
+    up = {k: k // 2 for k in range(40)}
+
+    def root(groups):
+        parent = {}
+        find = lambda x: x if parent.setdefault(x, x) == x else find(parent[x])
+        for a, b in groups:
+            parent[find(up[a])] = find(up[b])
+        return {frozenset(k for k in range(40) if find(up[k]) == r) for r in {find(up[k]) for k in range(40)}}
+
+    all_pairs = [(a, b) for a, b in combinations(range(40), 2) if minhash.alike(sets[a], sets[b], 85)]
+    found = minhash.links(members, None, 13, 85)
+    assert root(found) == root(all_pairs)
+    assert len(found) == 20 - len(root(all_pairs))
+    across = minhash.links(members[:15], members[15:], 13, 85)
+    assert root(across) == root([(a, b) for a, b in all_pairs if a < 15 <= b])
 
 
 def test_exact_dedup(spark, odd, none, docs):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -28,10 +29,13 @@ def prepare(spark: SparkSession) -> None:
 
 
 def shared(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share.  Set here only where the session has none."""
+    """The folder that the driver and all executors share.  A session without one gets a temporary
+    folder only where all of Spark is one process; a cluster has to name its own."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if not held.isDefined() and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         at = held.get() if held.isDefined() else "file://" + tempfile.mkdtemp(prefix="vitalgauge-")
         spark.conf.set("spark.checkpoint.dir", at)
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
@@ -58,6 +62,34 @@ def drop_path(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+class Scratch:
+    """The intermediate tables of one call, in one folder of the shared one, which goes when the
+    block ends.  What the call returns is written elsewhere before."""
+
+    def __init__(self, spark: SparkSession, label: str):
+        self.spark, self.path = spark, fresh(spark, label)
+        self.at: list[tuple[DataFrame, str]] = []
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        drop_path(self.spark, self.path)
+
+    def kept(self, df: DataFrame, label: str) -> DataFrame:
+        path = f"{self.path}/{len(self.at)}-{label}"
+        df.write.option("compression", "lz4").parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.at.append((out, path))
+        return out
+
+    def drop(self, *frames: DataFrame) -> None:
+        """Removes tables that nothing reads any more, before the block ends."""
+        for df, path in self.at:
+            if any(df is f for f in frames):
+                drop_path(self.spark, path)
+
+
 def parallelism(df: DataFrame) -> int:
     return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 

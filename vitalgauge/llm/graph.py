@@ -5,26 +5,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import kept
+from .common import Scratch, kept
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, into: Scratch | None = None) -> DataFrame:
     """node, label: the smallest node reachable over the edges (a, b), for each node of an edge.
 
     Each round takes the smallest label among a node's neighbours and then the label of
     its label, until none changes; the rounds grow with the logarithm of the longest
     path.  A node with many edges is joined between two written tables, so that its
-    rows may be split over tasks, and minima are taken before the shuffle.
+    rows may be split over tasks, and minima are taken before the shuffle.  Tables of
+    earlier rounds are removed; the result is a table of ``into``, or one that stays.
+
+    Defined cases: an edge with a null end, or from a node to itself, is no edge, so a node
+    with no other has no row; repeated edges count once; without edges there are no rows;
+    other columns are not looked at.
     """
-    edges = kept(edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a <> b"), "edges")
-    first = edges.union(edges.select("b", "a")).toDF("node", "other").groupBy("node").agg(F.min("other").alias("label"))
-    labels = kept(first.select("node", F.least("node", "label").alias("label")), "labels")
-    while True:
-        near = [edges.join(labels, edges[x] == labels["node"]).select(F.col(y).alias("node"), "label") for x, y in (("a", "b"), ("b", "a"))]
-        least = kept(near[0].union(near[1]).union(labels).groupBy("node").agg(F.min("label").alias("label")), "least")
-        jump = least.select(F.col("node").alias("label"), F.col("label").alias("far"))
-        after = kept(least.join(jump, "label").select("node", F.least("label", "far").alias("label")), "labels")
-        changed = after.join(labels.withColumnRenamed("label", "was"), "node").where("label <> was")
-        if changed.isEmpty():
-            return after
-        labels = after
+    with Scratch(edges.sparkSession, "components") as s:
+        edges = s.kept(edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a <> b"), "edges")
+        first = edges.union(edges.select("b", "a")).toDF("node", "other").groupBy("node").agg(F.min("other").alias("label"))
+        labels = s.kept(first.select("node", F.least("node", "label").alias("label")), "labels")
+        while True:
+            near = [edges.join(labels, edges[x] == labels["node"]).select(F.col(y).alias("node"), "label") for x, y in (("a", "b"), ("b", "a"))]
+            least = s.kept(near[0].union(near[1]).union(labels).groupBy("node").agg(F.min("label").alias("label")), "least")
+            jump = least.select(F.col("node").alias("label"), F.col("label").alias("far"))
+            after = s.kept(least.join(jump, "label").select("node", F.least("label", "far").alias("label")), "labels")
+            same = after.join(labels.withColumnRenamed("label", "was"), "node").where("label <> was").isEmpty()
+            s.drop(labels, least)
+            if same:
+                return (into.kept if into else kept)(after, "components")
+            labels = after

@@ -6,17 +6,41 @@ U+0020 and U+0009 to U+000D; a shingle is a 64-bit hash of some words in a row.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
-from .encode import Powers, mix
+from .encode import mix
 
-_BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-_BYTE[65:91] = _BYTE[97:123]
+_LOW = np.arange(256, dtype=np.uint8)
+_LOW[65:91] = _LOW[97:123]
 _BLANK = np.zeros(256, bool)
 _BLANK[[32, *range(9, 14)]] = True
 #: For terms: everything ASCII that is no letter or digit divides; bytes from 128 on are letters.
 _DIVIDES = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
-_POWERS = Powers(0x2545F4914F6CDD1D)
+#: Masks of the first 0 to 8 bytes of a little-endian word, and a longer run's limit.
+_HEAD = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+LONG = 256
+
+
+def run_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each of many runs of bytes: eight bytes at a time are mixed into what is
+    known of the run so far, so no two of its parts can cancel.  Runs over ``LONG`` bytes have
+    a BLAKE2 digest instead."""
+    size = end - start
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+    out = mix(size + 1)
+    todo = np.flatnonzero((size > 0) & (size <= LONG))
+    at = 0
+    while len(todo):
+        part = eight[start[todo] + at] & _HEAD[np.minimum(size[todo] - at, 8)]
+        out[todo] = mix((out[todo] ^ part) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(at + 1))
+        at += 8
+        todo = todo[size[todo] > at]
+    for k in np.flatnonzero(size > LONG).tolist():
+        out[k] = int.from_bytes(hashlib.blake2b(data[start[k] : end[k]].tobytes(), digest_size=8).digest(), "little")
+    return out
 
 
 def word_spans(data: np.ndarray, at: np.ndarray, blank: np.ndarray = _BLANK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -36,7 +60,7 @@ def word_spans(data: np.ndarray, at: np.ndarray, blank: np.ndarray = _BLANK) ->
 def word_hashes(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A hash of each word in order, and the number of words of each text."""
     start, stop, n = word_spans(data, at)
-    return _POWERS.slices(_BYTE[data], start, stop), n
+    return run_hashes(_LOW[data], start, stop), n
 
 
 def distinct_terms(data: np.ndarray, at: np.ndarray, bits: int, stem: int = 5) -> tuple[np.ndarray, np.ndarray]:
@@ -45,9 +69,9 @@ def distinct_terms(data: np.ndarray, at: np.ndarray, bits: int, stem: int = 5) -
     Terms are the words and, of words longer than ``stem`` bytes, their first ``stem`` bytes.
     """
     start, stop, n = word_spans(data, at, _DIVIDES)
-    values = _BYTE[data]
+    values = _LOW[data]
     stop = np.stack([stop, np.minimum(stop, start + stem)], 1)
-    h = _POWERS.slices(values, np.repeat(start, 2), stop.ravel()).reshape(-1, 2)
+    h = run_hashes(values, np.repeat(start, 2), stop.ravel()).reshape(-1, 2)
     h[:, 1] = np.where(stop[:, 0] > stop[:, 1], mix(h[:, 1] + np.uint64(1)), h[:, 0])
     h = (h.ravel() >> np.uint64(64 - bits)).astype(np.int32)
     n = 2 * n
