@@ -160,7 +160,7 @@ def test_links_are_a_forest_over_components():
     from vitalgauge.llm.shingles import signatures
 
     sig = signatures(np.concatenate(sets), np.array([len(s) for s in sets]), 32)
-    members = [(k, k // 2, sig[k], sets[k]) for k in range(40)]
+    members = [(k // 2, sig[k], sets[k]) for k in range(40)]
     up = {k: k // 2 for k in range(40)}
 
     def root(groups):
@@ -171,10 +171,10 @@ def test_links_are_a_forest_over_components():
         return {frozenset(k for k in range(40) if find(up[k]) == r) for r in {find(up[k]) for k in range(40)}}
 
     all_pairs = [(a, b) for a, b in combinations(range(40), 2) if minhash.alike(sets[a], sets[b], 85)]
-    found = minhash.links(members, None, 13, 85)
+    found = [(2 * a, 2 * b) for a, b in minhash.links(members, None, 13, 85)]
     assert root(found) == root(all_pairs)
     assert len(found) == 20 - len(root(all_pairs))
-    across = minhash.links(members[:15], members[15:], 13, 85)
+    across = [(2 * a, 2 * b) for a, b in minhash.links(members[:15], members[15:], 13, 85)]
     assert root(across) == root([(a, b) for a, b in all_pairs if a < 15 <= b])
 
 

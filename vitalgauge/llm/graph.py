@@ -21,17 +21,20 @@ def components(edges: DataFrame, into: Scratch | None = None) -> DataFrame:
     with no other has no row; repeated edges count once; without edges there are no rows;
     other columns are not looked at.
     """
-    with Scratch(edges.sparkSession, "components") as s:
-        edges = s.kept(edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a <> b"), "edges")
-        first = edges.union(edges.select("b", "a")).toDF("node", "other").groupBy("node").agg(F.min("other").alias("label"))
-        labels = s.kept(first.select("node", F.least("node", "label").alias("label")), "labels")
-        while True:
-            near = [edges.join(labels, edges[x] == labels["node"]).select(F.col(y).alias("node"), "label") for x, y in (("a", "b"), ("b", "a"))]
-            least = s.kept(near[0].union(near[1]).union(labels).groupBy("node").agg(F.min("label").alias("label")), "least")
-            jump = least.select(F.col("node").alias("label"), F.col("label").alias("far"))
-            after = s.kept(least.join(jump, "label").select("node", F.least("label", "far").alias("label")), "labels")
-            same = after.join(labels.withColumnRenamed("label", "was"), "node").where("label <> was").isEmpty()
-            s.drop(labels, least)
-            if same:
-                return (into.kept if into else kept)(after, "components")
-            labels = after
+    if into is None:
+        with Scratch(edges.sparkSession, "components") as s:
+            return kept(components(edges, s), "components")
+    s = into
+    edges = s.kept(edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a <> b"), "edges")
+    first = edges.union(edges.select("b", "a")).toDF("node", "other").groupBy("node").agg(F.min("other").alias("label"))
+    labels = s.kept(first.select("node", F.least("node", "label").alias("label")), "labels")
+    while True:
+        near = [edges.join(labels, edges[x] == labels["node"]).select(F.col(y).alias("node"), "label", F.lit(None).cast("long").alias("was")) for x, y in (("a", "b"), ("b", "a"))]
+        least = near[0].union(near[1]).union(labels.select("node", "label", F.col("label").alias("was"))).groupBy("node").agg(F.min("label").alias("label"), F.max("was").alias("was"))
+        least = s.kept(least, "least")
+        s.drop(labels)
+        if least.where("label <> was").isEmpty():
+            return least.select("node", "label")
+        jump = least.select(F.col("node").alias("label"), F.col("label").alias("far"))
+        labels = s.kept(least.join(jump, "label").select("node", F.least("label", "far").alias("label")), "labels")
+        s.drop(least)

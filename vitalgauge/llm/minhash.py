@@ -87,14 +87,13 @@ def stars(classes: DataFrame, t: int, s: Scratch) -> DataFrame:
     """leader, member: members of the posting lists led by a class, without itself."""
     posted = classes.select("cid", F.posexplode("signature").alias("c", "v"))
     posted = posted.select("cid", (F.col("c").cast("long") * F.lit(1 << 32) + F.col("v").cast("long")).alias("k"))
-    shared = s.kept(posted.groupBy("k").agg(F.count("*").alias("df")).where("df > 1"), "shared")
+    shared = posted.groupBy("k").agg(F.count("*").alias("df")).where("df > 1")
     mine = posted.join(shared, "k").groupBy("cid").agg(F.array_sort(F.collect_list(F.struct("df", "k"))).alias("ks"), F.sum("df").alias("weight"))
     mine = mine.where(F.size("ks") >= t).select("cid", "weight", F.slice("ks", F.lit(1), F.size("ks") - F.lit(t - 1)).alias("ks"))
     mine = s.kept(mine.select("cid", "weight", F.explode("ks.k").alias("k")), "prefix")
-    s.drop(shared)
-    leaders = s.kept(mine.groupBy("k").agg(F.max(F.struct("weight", -F.col("cid"))).alias("top"), F.count("*").alias("n")).where("n > 1").select("k", (-F.col("top.col2")).alias("leader")), "leaders")
+    leaders = mine.groupBy("k").agg(F.max(F.struct("weight", -F.col("cid"))).alias("top"), F.count("*").alias("n")).where("n > 1").select("k", (-F.col("top.col2")).alias("leader"))
     out = s.kept(mine.join(leaders, "k").where("cid <> leader").select("leader", F.col("cid").alias("member")).distinct(), "stars")
-    s.drop(mine, leaders)
+    s.drop(mine)
     return out
 
 
@@ -112,8 +111,8 @@ def led(df: DataFrame, classes: DataFrame, members: DataFrame, width: int, perce
     near = near.join(classes.select(F.col("cid").alias("leader"), F.col("signature").alias("y"), F.col("n_shingles").alias("m")), "leader")
     near = near.where(F.expr(f"100 * least(n, m) >= {percent} * greatest(n, m)") & (matches("x", "y") >= t))
     near = s.kept(near.select("leader", "member"), "near")
-    texts = texts_of(df, classes, near.select(F.explode(F.array("leader", "member")).alias("cid")), key, text, s)
-    sizes = s.kept(near.groupBy("leader").agg(F.ceil(F.count("*") / LED).cast("int").alias("parts")), "parts")
+    texts = texts_of(df, classes, near.select(F.explode(F.array("leader", "member")).alias("cid")), key, text)
+    sizes = near.groupBy("leader").agg(F.ceil(F.count("*") / LED).cast("int").alias("parts"))
     dealt = near.join(sizes, "leader").select("leader", F.pmod(F.xxhash64("member"), F.col("parts")).cast("int").alias("part"), F.col("member").alias("cid"), F.lit(1).alias("led"))
     own = sizes.select("leader", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("leader").alias("cid"), F.lit(0).alias("led"))
     rows = own.union(dealt).join(texts, "cid")
@@ -134,10 +133,10 @@ def led(df: DataFrame, classes: DataFrame, members: DataFrame, width: int, perce
     return rows.mapInArrow(run, "a long, b long")
 
 
-def texts_of(df: DataFrame, classes: DataFrame, cids: DataFrame, key: str, text: str, s: Scratch) -> DataFrame:
+def texts_of(df: DataFrame, classes: DataFrame, cids: DataFrame, key: str, text: str) -> DataFrame:
     """cid, text: one text of each of these classes, which its smallest doc_id has."""
     wanted = classes.select("cid", F.col("rep").alias("doc_id"), "t").join(cids.distinct(), "cid")
-    return s.kept(hashed(df, key, text).join(wanted, ["doc_id", "t"]).groupBy("cid").agg(F.first("text").alias("text")), "texts")
+    return hashed(df, key, text).join(wanted, ["doc_id", "t"]).groupBy("cid").agg(F.first("text").alias("text"))
 
 
 def sets_of(b: pa.RecordBatch, width: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -272,16 +271,16 @@ class _Forest:
 
 
 def links(left: list[tuple], right: list[tuple] | None, t: int, percent: int) -> list[tuple[int, int]]:
-    """A spanning forest, over components, of the pairs of two blocks (or of one) that are alike.
+    """A spanning forest, over labels, of the pairs of two blocks (or of one) that are alike.
 
-    Members are (member, label, signature, shingles).  The pairs with most collisions come
+    Members are (label, signature, shingles).  The pairs with most collisions come
     first, and a pair whose components are connected by then is passed over.
     """
     both = left + (right or [])
     if not left or (right is not None and not right):
         return []
-    forest = _Forest([m[1] for m in both])
-    a, b = np.stack([m[2] for m in left]), np.stack([m[2] for m in (left if right is None else right)])
+    forest = _Forest([m[0] for m in both])
+    a, b = np.stack([m[1] for m in left]), np.stack([m[1] for m in (left if right is None else right)])
     x, y = collisions(a, b, t)
     if right is None:
         x, y = x[x < y], y[x < y]
@@ -289,19 +288,19 @@ def links(left: list[tuple], right: list[tuple] | None, t: int, percent: int) ->
     out = []
     for k in order:
         p, q = left[x[k]], (left if right is None else right)[y[k]]
-        if forest.root(p[1]) != forest.root(q[1]) and alike(p[3], q[3], percent):
-            forest.join(p[1], q[1])
+        if forest.root(p[0]) != forest.root(q[0]) and alike(p[2], q[2], percent):
+            forest.join(p[0], q[0])
             out.append((p[0], q[0]))
     return out
 
 
-def confirm(df: DataFrame, members: DataFrame, classes: DataFrame, width: int, percent: int, t: int, key: str, text: str, s: Scratch) -> DataFrame:
-    """a, b: links between members (leader, member, label, apart) of different components."""
-    texts = texts_of(df, classes, members.select(F.col("member").alias("cid")), key, text, s)
+def confirm(df: DataFrame, members: DataFrame, classes: DataFrame, width: int, percent: int, t: int, key: str, text: str) -> DataFrame:
+    """a, b: the labels of components that members (leader, member, label, apart) link."""
+    texts = texts_of(df, classes, members.select(F.col("member").alias("cid")), key, text)
     weigh = classes.select(F.col("cid").alias("member"), "n_bytes")
     blocks = members.join(weigh, "member").groupBy("leader").agg(F.ceil(F.sum("n_bytes") / BLOCK_BYTES).cast("int").alias("bins"))
     rows = dealt(members, blocks, "bins").join(texts.withColumnRenamed("cid", "member"), "member")
-    rows = rows.repartition(parallelism(df), *GROUP).sortWithinPartitions(*GROUP).select("text", "member", "label", "side", *GROUP)
+    rows = rows.repartition(parallelism(df), *GROUP).sortWithinPartitions(*GROUP).select("text", "label", "side", *GROUP)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now: tuple | None = None
@@ -315,14 +314,14 @@ def confirm(df: DataFrame, members: DataFrame, classes: DataFrame, width: int, p
             return found
 
         for b in batches:
-            member, label, side = (b.column(k).to_pylist() for k in (1, 2, 3))
-            group = list(zip(*(b.column(k).to_pylist() for k in range(4, 8)), strict=True))
+            label, side = b.column(1).to_pylist(), b.column(2).to_pylist()
+            group = list(zip(*(b.column(k).to_pylist() for k in range(3, 7)), strict=True))
             out: list[tuple[int, int]] = []
             for k, own in sets_of(b, width):
                 if group[k] != now:
                     out += flush()
                     now = group[k]
-                held[side[k]].append((member[k], label[k], signatures(own, np.array([len(own)]), COORDINATES)[0], own))
+                held[side[k]].append((label[k], signatures(own, np.array([len(own)]), COORDINATES)[0], own))
             yield edges(out)
         yield edges(flush())
 
@@ -338,16 +337,16 @@ def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, key: str =
         classes = real.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "t")).alias("top"), F.first("signature").alias("signature"), F.max("n_shingles").alias("n_shingles"), F.max("n_bytes").alias("n_bytes"))
         classes = s.kept(classes.select(F.monotonically_increasing_id().alias("cid"), "d1", "d2", F.col("top.doc_id").alias("rep"), F.col("top.t").alias("t"), "signature", "n_shingles", "n_bytes"), "classes")
         members = stars(classes, t, s)
-        first = s.kept(led(df, classes, members, width, percent, t, key, text, s).union(same_document(real, classes)), "led")
-        labels = components(first, s)
+        labels = components(led(df, classes, members, width, percent, t, key, text, s).union(same_document(real, classes)), s)
         rest = mixed(members, labels, s)
         rest = s.kept(rest.join(candidates(rest, classes, percent, t), ["leader", "member"]), "candidates")
         if not rest.isEmpty():
-            more = s.kept(confirm(df, rest, classes, width, percent, t, key, text, s), "more")
-            labels = components(first.union(more), s)
+            more = components(confirm(df, rest, classes, width, percent, t, key, text), s)  # between labels
+            labels = labels.union(more.select("node", F.col("node").alias("label")).join(labels, "node", "left_anti"))
+            labels = labels.join(more.select(F.col("node").alias("label"), F.col("label").alias("least")), "label", "left").select("node", F.coalesce("least", "label").alias("label"))
         named = classes.join(labels, classes["cid"] == labels["node"], "left").select("d1", "d2", "rep", F.coalesce("label", "cid").alias("label"))
         smallest = named.groupBy("label").agg(F.min("rep").alias("component_id"))
-        named = s.kept(named.join(smallest, "label").select("d1", "d2", "component_id"), "named")
+        named = named.join(smallest, "label").select("d1", "d2", "component_id")
         out = sets.select("doc_id", "n_shingles", "d1", "d2").join(named, ["d1", "d2"], "left")
         out = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
         return kept(out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))), "near-duplicates")
