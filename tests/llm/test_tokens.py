@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import random
 import zlib
 from collections import defaultdict
@@ -13,6 +14,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from vitalgauge.llm import packing, token_files, tokens
+from vitalgauge.llm.bpe import Automaton, gadget_arcs
 from vitalgauge.llm.encode import Encoder
 
 WORD, BYTE = (public_tokenizers.path(n) for n in ("word_bpe_49k.json", "byte_bpe_50k.json"))
@@ -31,6 +33,60 @@ def test_ids_are_the_librarys(path):
     assert [g.tolist() for g in got] == expected(path, texts)
 
 
+@pytest.mark.parametrize("path", [WORD, BYTE])
+def test_words_whose_hashes_collide(path):
+    """Thue-Morse words and their mirrors have equal sums of powers modulo 2**64."""
+    texts = []
+    for n in (1024, 2048, 4096):
+        a = "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+        texts += [a, a.translate({97: "b", 98: "a"})]
+    e = Encoder(path)
+    for batch in ([texts], [[t] for t in texts]):
+        for some in batch:
+            assert [g.tolist() for g in e.encode(list(some))] == expected(path, some)
+
+
+def test_arcs_are_those_of_explicit_gadgets(tmp_path):
+    """Small random merge lists: the arcs read off the spines, and whole encodings."""
+    rng = random.Random(5)
+    for k in range(60):
+        names = ["a", "b", "c"][: rng.choice([1, 2, 3])]
+        base, merges = len(names), []
+        while len(merges) < 12:
+            u, v = rng.choice(names), rng.choice(names)
+            if u + v not in names:
+                merges.append((u, v))
+                names.append(u + v)
+        vocab = {t: i for i, t in enumerate(names)}
+        (file := tmp_path / f"{k}.json").write_text(json.dumps({"model": {"vocab": vocab, "merges": [list(m) for m in merges]}, "added_tokens": []}))
+        auto = Automaton(str(file))
+        arcs = gadget_arcs(base, [(vocab[u], vocab[v], vocab[u + v]) for u, v in merges])
+        made = {*range(base), *(t for _, t in arcs)} | {vocab[u + v] for u, v in merges if _joined("".join((u, v)), merges) == [u + v]}
+        live = sorted(t for t in made if _joined(names[t], merges) == [names[t]])
+        x, y = (np.array(z) for z in zip(*((a, b) for a in live for b in live), strict=True))
+        assert auto.arc(x, y).tolist() == [(a, b) in arcs for a, b in zip(x.tolist(), y.tolist(), strict=True)]
+        words = ["".join(rng.choices(names[:base], k=rng.randint(1, 30))) for _ in range(60)]
+        ids, n = auto.encode_words(np.frombuffer("".join(words).encode(), np.uint8), np.array([len(w) for w in words]))
+        assert [[names[i] for i in part] for part in np.split(ids, np.cumsum(n)[:-1])] == [_joined(w, merges) for w in words]
+
+
+def _joined(word, merges):
+    """Merges by rank, leftmost first."""
+    parts = list(word)
+    for u, v in merges:
+        out = []
+        for p in parts:
+            if out and out[-1] == u and p == v:
+                out[-1] = u + v
+                out.append("")  # a joined token takes part in no second join of its rank
+            else:
+                if out and out[-1] == "":
+                    out.pop()
+                out.append(p)
+        parts = [p for p in out if p]
+    return parts
+
+
 def test_a_full_memo_is_emptied(monkeypatch):
     import vitalgauge.llm.encode as m
 

@@ -8,7 +8,9 @@ So the state after a token is the state of its right part at the time of its mer
 plus the arcs it lost later, and an arc ``w`` exists where its left part's arc
 existed at that time.  The automaton is held in that form (merge table, left and
 right part of each token, rank of each gadget), which is linear in the merge list,
-and the existence of one arc is read off the two spines (:meth:`Automaton.arc`).
+and the existence of one arc is read off the two spines (:meth:`Automaton.arc`).  The states
+are not written out one by one; tests hold ``arc`` against an automaton whose gadgets are
+built explicitly, one after another (:func:`gadget_arcs`).
 
 The automaton accepts exactly one token path for each byte string.  Encoding walks
 the bytes of many words side by side through a goto table over the arc labels
@@ -173,7 +175,7 @@ class Automaton:
         t = np.array([i for i in symbols if self.rank[i] >= 0], np.int64)
         # the halves' boundary must be free of arcs until the token's own gadget
         ok = self.arc(self.left[t], self.right[t], until=self.rank[t])
-        for _ in range(64):  # a half may itself be unreachable
+        while True:  # a half may itself be unreachable
             bad = np.zeros(self.size, bool)
             bad[t[~ok]] = True
             more = bad[self.left[t]] | bad[self.right[t]]
@@ -306,3 +308,22 @@ class Automaton:
         within = k - np.repeat(first, take)
         out[within + np.repeat(end - n, take)] = self.text_bytes[within + np.repeat(self.text_at[ids], take)]
         return out[:-1].tobytes()
+
+
+def gadget_arcs(symbols: int, merges: list[tuple[int, int, int]]) -> set[tuple[int, int]]:
+    """The pairs (token, token) of which the second may follow the first, by building each gadget.
+
+    A state for each token that was read last; ``merges`` are (left, right, made) in rank order.
+    Quadratic in the tokens, for small lists.
+    """
+    start = -1  # the state before the first token
+    arcs: dict[int, set[int]] = {q: set(range(symbols)) for q in [start, *range(symbols)]}
+    for u, v, w in merges:
+        after = set(arcs[v])  # what may follow v may follow w
+        met = v in arcs[u]
+        arcs[u].discard(v)  # the copy of the state after u that has lost its arc v
+        for out in arcs.values():
+            if met and u in out:
+                out.add(w)
+        arcs[w] = after | ({w} if met and u in after else set())
+    return {(q, t) for q, out in arcs.items() for t in out if q != start}

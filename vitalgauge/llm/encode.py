@@ -2,9 +2,10 @@
 
 Texts are cut into blocks of about :data:`BLOCK` characters.  In a block everything is
 done with numpy over code points: classes, word boundaries, a 64-bit hash of each
-word, and a look-up of the hash in a memo of words encoded before.  Words that are
-not in the memo go to the automaton together.  The memo has a fixed capacity; when it
-is full it is emptied, so memory is bounded and the result is the same.
+word, and a look-up of the hash in a memo of words encoded before.  A word is held against
+the memo's own letters, so one whose hash is another's is encoded by itself.  Words that are
+not in the memo go to the automaton together.  The memo has a fixed capacity in words and in
+letters; when it is full it is emptied, so memory is bounded and the result is the same.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import numpy as np
 from .bpe import Automaton
 
 BLOCK = 400_000
-MEMO_BITS = 21
+MEMO_BITS, LETTERS = 21, 8 << 20
 LETTER, NUMBER, OTHER, SPACE, EDGE = 0, 1, 2, 3, 4
 _P = pow(0x5851F42D4C957F2D, 1, 1 << 64)
 _WHITE = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
@@ -105,6 +106,8 @@ class Encoder:
         self.used = 0
         self.at, self.count = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int32)
         self.store, self.stored = np.zeros(1 << 18, np.uint16), 0
+        self.letters, self.lettered = np.zeros(1 << 18, np.uint32), 0
+        self.letter_at, self.letter_count = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
 
     def _find(self, h: np.ndarray) -> np.ndarray:
         """The memo's entry of each hash, or -1."""
@@ -122,17 +125,44 @@ class Encoder:
             todo = todo[~hit & (found != 0)]
         return out
 
-    def _learn(self, h: np.ndarray, ids: np.ndarray, n_ids: np.ndarray) -> None:
-        first, total = self.used, len(ids)
-        while len(self.at) < first + len(h):
-            self.at, self.count = np.resize(self.at, 2 * len(self.at)), np.resize(self.count, 2 * len(self.count))
-        while len(self.store) < self.stored + total:
+    def _add(self, cp: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Encodes words and keeps their ids and letters; the places of their entries."""
+        line = cp.tobytes().decode("utf-32-le")
+        words = [line[s:e] for s, e in zip(start.tolist(), end.tolist(), strict=True)]
+        raw = [w.encode() for w in words]
+        ids, n_ids = self.auto.encode_words(np.frombuffer(b"".join(raw), np.uint8), np.fromiter(map(len, raw), np.int64, len(raw)))
+        letters, size = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32), end - start
+        first, n = self.used, len(words)
+        while len(self.at) < first + n:
+            size_now = 2 * len(self.at)
+            for name in ("at", "count", "letter_at", "letter_count"):
+                setattr(self, name, np.resize(getattr(self, name), size_now))
+        while len(self.store) < self.stored + len(ids):
             self.store = np.resize(self.store, 2 * len(self.store))
-        self.store[self.stored : self.stored + total] = ids
-        self.at[first : first + len(h)] = self.stored + np.cumsum(n_ids) - n_ids
-        self.count[first : first + len(h)] = n_ids
-        self.stored += total
-        self.used += len(h)
+        while len(self.letters) < self.lettered + len(letters):
+            self.letters = np.resize(self.letters, 2 * len(self.letters))
+        new = slice(first, first + n)
+        self.store[self.stored : self.stored + len(ids)] = ids
+        self.letters[self.lettered : self.lettered + len(letters)] = letters
+        self.at[new], self.count[new] = self.stored + np.cumsum(n_ids) - n_ids, n_ids
+        self.letter_at[new], self.letter_count[new] = self.lettered + np.cumsum(size) - size, size
+        self.stored, self.lettered, self.used = self.stored + len(ids), self.lettered + len(letters), first + n
+        return np.arange(first, first + n)
+
+    def _strangers(self, cp: np.ndarray, start: np.ndarray, end: np.ndarray, found: np.ndarray) -> np.ndarray:
+        """The words whose entry has other letters than they have."""
+        size = end - start
+        known = self.letter_count[found]
+        out = known != size
+        n = np.where(out, 0, size)
+        first = np.cumsum(n) - n
+        within = np.arange(int(n.sum()))
+        differ = cp[within + np.repeat(start - first, n)] != self.letters[within + np.repeat(self.letter_at[found] - first, n)]
+        if differ.any():
+            out[np.searchsorted(first + n, np.flatnonzero(differ), side="right")] = True
+        return np.flatnonzero(out)
+
+    def _learn(self, h: np.ndarray, entries: np.ndarray) -> None:
         mask = (1 << MEMO_BITS) - 1
         slot, todo = (h & np.uint64(mask)).astype(np.int64), np.arange(len(h))
         while len(todo):
@@ -140,7 +170,7 @@ class Encoder:
             free = self.keys[s] == 0
             _, lead = np.unique(np.where(free, s, -1 - np.arange(len(s))), return_index=True)
             put = lead[free[lead]]
-            self.keys[s[put]], self.entry[s[put]] = h[todo[put]], first + todo[put]
+            self.keys[s[put]], self.entry[s[put]] = h[todo[put]], entries[todo[put]]
             rest = np.ones(len(todo), bool)
             rest[put] = False
             todo = todo[rest]
@@ -209,16 +239,16 @@ class Encoder:
         new = np.flatnonzero(found < 0)
         if len(new):
             hashes, first = np.unique(h[new], return_index=True)
-            if self.used + len(hashes) > (1 << MEMO_BITS) // 2:
+            if self.used + len(hashes) > (1 << MEMO_BITS) // 2 or self.lettered > LETTERS or self.stored > LETTERS:
                 self._clear()
                 new = np.arange(len(h))
                 hashes, first = np.unique(h, return_index=True)
             first = new[first]
-            line = cp.tobytes().decode("utf-32-le")
-            raw = [line[s:e].encode() for s, e in zip(start[first].tolist(), end[first].tolist(), strict=True)]
-            ids, n_ids = self.auto.encode_words(np.frombuffer(b"".join(raw), np.uint8), np.fromiter(map(len, raw), np.int64, len(raw)))
-            self._learn(hashes, ids, n_ids)
+            self._learn(hashes, self._add(cp, start[first], end[first]))
             found[new] = self._find(h[new])
+        odd = self._strangers(cp, start, end, found)
+        if len(odd):
+            found[odd] = self._add(cp, start[odd], end[odd])
         n = self.count[found].astype(np.int64)
         ends = np.cumsum(n)
         take = np.repeat(self.at[found] - (ends - n), n) + np.arange(int(n.sum()))
