@@ -155,11 +155,14 @@ class Encoder:
         known = self.letter_count[found]
         out = known != size
         n = np.where(out, 0, size)
-        first = np.cumsum(n) - n
-        within = np.arange(int(n.sum()))
-        differ = cp[within + np.repeat(start - first, n)] != self.letters[within + np.repeat(self.letter_at[found] - first, n)]
+        last = np.cumsum(n)
+        place = np.arange(int(last[-1]) if len(last) else 0, dtype=np.int32)
+        place += np.repeat((start - (last - n)).astype(np.int32), n)
+        differ = cp[place]
+        place += np.repeat((self.letter_at[found] - start).astype(np.int32), n)
+        differ = differ != self.letters[place]
         if differ.any():
-            out[np.searchsorted(first + n, np.flatnonzero(differ), side="right")] = True
+            out[np.searchsorted(last, np.flatnonzero(differ), side="right")] = True
         return np.flatnonzero(out)
 
     def _learn(self, h: np.ndarray, entries: np.ndarray) -> None:
