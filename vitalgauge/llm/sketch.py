@@ -38,14 +38,25 @@ SALTS = 32
 KEY = ["k", "h"]
 #: Where a text is cut: at line ends, after each mark that ends a sentence (and a closing quote or
 #: bracket) before blanks, and after the marks of scripts that are written without blanks.
-_BLANK = r"[ \t\u00A0\u3000]"
-SENTENCES = rf"\n|{_BLANK}(?<=[.!?\u2026\u0589\u061F\u06D4\u0964\u0965\u104B\u1362\u17D4][\x22\x27)\]\u00BB\u2019\u201D]?{_BLANK}){_BLANK}*|(?<=[\u3002\uFF01\uFF1F\uFF61])(?![\u3002\uFF01\uFF1F\uFF61\u300D\u300F\u2019\u201D\uFF09])"
+#: Three expressions that cut alike: of ASCII alone, of any script with blanks, and of all.
+_MARKS, _CLOSERS = r"\u2026\u0589\u061F\u06D4\u0964\u0965\u104B\u1362\u17D4", r"\u00BB\u2019\u201D"
+_SOLID = "\u3002\uff01\uff1f\uff61"
+
+
+def _cuts(blank: str, marks: str, closers: str) -> str:
+    return rf"\n|{blank}(?<=[.!?{marks}][\x22\x27)\]{closers}]?{blank}){blank}*"
+
+
+PLAIN, BLANKS = _cuts(r"[ \t]", "", ""), _cuts(r"[ \t\u00A0\u3000]", _MARKS, _CLOSERS)
+SENTENCES = BLANKS + rf"|(?<=[{_SOLID}])(?![{_SOLID}\u300D\u300F\u2019\u201D\uFF09])"
 
 
 def digests(text: str) -> str:
     """The distinct paragraph digests of a text expression."""
-    pattern = SENTENCES.replace("\\", "\\\\")
-    return f"array_distinct(transform(filter(split({text}, '{pattern}'), p -> p <> ''), p -> xxhash64(p)))"
+    split = ["split({}, '{}')".format(text, p.replace("\\", "\\\\")) for p in (PLAIN, SENTENCES, BLANKS)]
+    solid = " OR ".join(f"contains({text}, '{c}')" for c in _SOLID)
+    parts = f"CASE WHEN octet_length({text}) = char_length({text}) THEN {split[0]} WHEN {solid} THEN {split[1]} ELSE {split[2]} END"
+    return f"array_distinct(transform(filter({parts}, p -> p <> ''), p -> xxhash64(p)))"
 
 
 def let(name: str, value: str, body: str) -> str:
