@@ -206,6 +206,49 @@ def test_pairs_of_terms_count():
     assert max(s[1:]) < 0.5
 
 
+def test_terms_that_tell_nothing_alone():
+    """The class is exactly one of two terms, beside terms of noise and thousands of rare ones."""
+    rng = np.random.default_rng(0)
+    rows, y = [], []
+    for _ in range(3000):
+        a, b = rng.random(2) < 0.5
+        rows.append(np.array(sorted({1 if a else 3, 2 if b else 4, *rng.integers(10, 400, 5).tolist(), *rng.integers(1000, 9000, 20).tolist()}), np.int32))
+        y.append(int(a != b))
+    m = toxicity.learn(np.concatenate(rows), np.array([len(r) for r in rows]), np.array(y))
+    s = m.score(np.array([1, 4, 2, 3, 1, 2, 3, 4], np.int32), np.array([2, 2, 2, 2]))
+    assert min(s[:2]) > 0.8 and max(s[2:]) < 0.2
+
+
+def test_toxicity_learns_from_few_labels(spark):
+    """Of the smallest tables' labels, 10 are toxic; the model still finds toxic texts of larger ones."""
+    docs, labels, more, marks = (spark.read.parquet(f"{sf}/{t}.parquet") for sf in (SF, SF.replace("0.001", "0.1")) for t in ("documents", "labels"))
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(more, toxicity.train(docs, labels)).collect()}
+    toxic, clean = (np.array([got[r["doc_id"]] for r in marks.collect() if r["toxic"] == k]) for k in (1, 0))
+    assert np.mean(toxic[:, None] > clean) > 0.6
+    assert np.mean(toxic >= 0.5) > 0.05 and np.mean(clean >= 0.5) < 0.01
+
+
+def test_a_repeated_document_is_one_row_of_the_sample(spark):
+    docs = spark.createDataFrame([(i, w, "en") for i, w in [(3, "a b"), (3, "z y"), *[(4, f"w{k}") for k in range(50)]]], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(3, 1), (4, 0)], "doc_id long, toxic int")
+    assert toxicity.train(docs, labels).w0 < 1
+    assert language.train(docs).names == ["en"]
+
+
+def test_text_of_no_language(spark):
+    """Letters in random order go, clean texts stay, by the network's decision."""
+    docs = spark.read.parquet(SF.replace("0.001", "0.01") + "/documents.parquet")
+    net = language.train(docs)
+    most = language.limit(docs, net)
+    rng = np.random.default_rng(2)
+    junk = ["".join(rng.choice(list("qwertyuiopasdfghjklzxcvbnm"), 300)) for _ in range(20)] + ["".join(rng.choice(list(t), len(t), replace=False)) for t in [r["text"] for r in docs.where("length(text) BETWEEN 300 AND 2000 AND lang IS NOT NULL").limit(20).collect()]]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(junk)], "doc_id long, text string")
+    assert language.keep_known(df, net, most).count() <= 2
+    fine = docs.where("lang IS NOT NULL")
+    assert language.keep_known(fine, net, most).count() >= 0.99 * fine.count()
+    assert language.keep_known(fine, None, most).count() == 0
+
+
 def test_language_held_out(spark, odd, none):
     docs = spark.read.parquet(SF.replace("0.001", "0.01") + "/documents.parquet")
     truth = {r["doc_id"]: r["lang"] for r in docs.select("doc_id", "lang").collect()}

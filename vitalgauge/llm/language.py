@@ -3,8 +3,12 @@
 A text is cut into windows of ``WINDOW`` bytes, the last one filled with zeros.  In a
 window each byte has an embedding; filters of several widths run over it, their largest
 outputs go to a softmax.  A text's logits are the mean of its windows' logits, weighted by
-their bytes, so all of it counts.  Learned in numpy from at most ``SAMPLE`` rows outside
-the held-out fifth, at most ``WINDOWS_EACH`` windows of each.
+their bytes, so all of it counts.  Learned in numpy from all windows of at most ``SAMPLE`` rows
+outside the held-out fifth.
+
+Beside the languages the network has a class for text of none: it learns it from windows of the
+same rows whose bytes are in random order.  A predicted language is always one of the rows';
+:func:`keep_known` rejects texts that are likelier of none than nearly all held-out rows are.
 
 For prediction an embedding and a filter's tap are one table by byte, and the taps of two
 neighbours one table by byte pair; a filter is then a sum of two or fewer looked-up rows.
@@ -29,7 +33,10 @@ from .samples import held_out, sample
 from .tokens import pairs
 
 WINDOW, EMBEDDING, FILTERS, WIDTHS = 192, 8, 16, (2, 3, 4)
-SAMPLE, WINDOWS_EACH, RUN_BYTES = 6_000, 2, 96 << 10
+SAMPLE, RUN_BYTES = 3_000, 96 << 10
+#: Of the windows of a batch this share is put in random order; rows that set the limit for texts
+#: of no language, and the share of them that it may reject.
+SCRAMBLED, HELD, REJECTED = 0.2, 3_000, 0.001
 _LOW = np.arange(256, dtype=np.uint8)
 _LOW[65:91] = _LOW[97:123]
 _LETTER = np.zeros(256, bool)
@@ -42,7 +49,7 @@ class Network:
     embedding: np.ndarray  # 256 x EMBEDDING
     taps: list[np.ndarray]  # each width x EMBEDDING x FILTERS
     bias: np.ndarray  # FILTERS * len(WIDTHS)
-    out: np.ndarray  # FILTERS * len(WIDTHS) x languages
+    out: np.ndarray  # FILTERS * len(WIDTHS) x (languages and none)
     out_bias: np.ndarray
 
     def tables(self) -> list[list[np.ndarray]]:
@@ -85,18 +92,26 @@ def pooled(x: np.ndarray, tables: list[list[np.ndarray]]) -> np.ndarray:
     return np.maximum(out, 0, out=out)
 
 
-def learn(x: np.ndarray, y: np.ndarray, names: list[str], epochs: int = 3, batch: int = 64, rate: float = 0.003, seed: int = 11) -> Network:
-    """Adam on the cross entropy of single windows."""
+def scrambled(x: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """Each window's bytes in random order, its zeros at the end."""
+    order = np.argsort(np.where(x > 0, rng.random(x.shape), 2.0), axis=1)
+    return np.take_along_axis(x, order, 1)
+
+
+def learn(x: np.ndarray, y: np.ndarray, names: list[str], epochs: int = 2, steps: int = 600, batch: int = 64, rate: float = 0.003, seed: int = 11) -> Network:
+    """Adam on the cross entropy of single windows, at least ``epochs`` times over them and ``steps`` batches."""
     rng = np.random.default_rng(seed)
-    c, width = len(names), FILTERS * len(WIDTHS)
+    c, width = len(names) + 1, FILTERS * len(WIDTHS)
     net = Network(names, rng.normal(0, 0.5, (256, EMBEDDING)).astype(np.float32), [rng.normal(0, (2 / (w * EMBEDDING)) ** 0.5, (w, EMBEDDING, FILTERS)).astype(np.float32) for w in WIDTHS], np.zeros(width, np.float32), rng.normal(0, 0.1, (width, c)).astype(np.float32), np.zeros(c, np.float32))
     params = [net.embedding, *net.taps, net.bias, net.out, net.out_bias]
     m1, m2, step = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
-    for _ in range(epochs):
+    for _ in range(max(epochs, -(-steps * batch // max(1, len(y))))):
         order = rng.permutation(len(y))
         for s in range(0, len(order), batch):
             pick = order[s : s + batch]
-            xb, b = x[pick], len(pick)
+            xb, yb, b = x[pick], y[pick].copy(), len(pick)
+            mixed = int(b * SCRAMBLED)
+            xb[:mixed], yb[:mixed] = scrambled(xb[:mixed], rng), len(names)
             e = net.embedding[xb]
             hidden, arg = np.empty((b, width), np.float32), []
             for k, w in enumerate(WIDTHS):
@@ -111,7 +126,7 @@ def learn(x: np.ndarray, y: np.ndarray, names: list[str], epochs: int = 3, batch
             logits = act @ net.out + net.out_bias
             p = np.exp(logits - logits.max(1, keepdims=True))
             p /= p.sum(1, keepdims=True)
-            p[np.arange(b), y[pick]] -= 1
+            p[np.arange(b), yb] -= 1
             p /= b
             dh = np.where(on, p @ net.out.T, 0).astype(np.float32)
             de = np.zeros((256, EMBEDDING), np.float32)
@@ -134,11 +149,11 @@ def learn(x: np.ndarray, y: np.ndarray, names: list[str], epochs: int = 3, batch
 
 
 def train(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", most: int = SAMPLE) -> Network | None:
-    """From at most ``most`` rows; their ids are what is broadcast and some windows of each what
-    the driver gets.  None without a labelled row."""
+    """From at most ``most`` rows; their ids are what is broadcast and their windows what the driver
+    gets.  A doc_id on several rows is learned with its largest text.  None without a labelled row."""
     rows = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang"))
     picked = sample(rows.select("doc_id", "lang").where("doc_id is not null and lang is not null"), most).select("doc_id").distinct()
-    rows = rows.where("lang is not null").join(F.broadcast(picked), "doc_id")
+    rows = rows.where("lang is not null").join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.max(F.struct("text", "lang")).alias("top")).select("doc_id", "top.text", "top.lang")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -147,9 +162,8 @@ def train(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
                 x, doc, _ = windows(data[at[i] : at[j]], at[i : j + 1] - at[i])
                 n = np.bincount(doc, minlength=j - i)
                 nth = np.arange(len(doc)) - (np.cumsum(n) - n)[doc]
-                use = nth * WINDOWS_EACH // n[doc] != (nth - 1) * WINDOWS_EACH // n[doc]  # spread over the text
                 ids, langs = b.column(0).slice(i, j - i), b.column(2).slice(i, j - i)
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(doc[use])), langs.take(pa.array(doc[use])), pa.array(nth[use]), pa.array([r.tobytes() for r in x[use]], pa.binary())], ["doc_id", "lang", "nth", "bytes"])
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(doc)), langs.take(pa.array(doc)), pa.array(nth), pa.array([r.tobytes() for r in x], pa.binary())], ["doc_id", "lang", "nth", "bytes"])
 
     got = rows.select("doc_id", "text", "lang").mapInArrow(run, "doc_id long, lang string, nth long, bytes binary").toArrow().sort_by([("doc_id", "ascending"), ("nth", "ascending")])
     if not got.num_rows:
@@ -168,7 +182,8 @@ def _has_letter(data: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def predict(df: DataFrame, net: Network | None, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, lang_pred, score, for each row and its whole text."""
+    """doc_id, lang_pred, score, and none (0 to 1, that it is of no language), for each row and its
+    whole text."""
     model = df.sparkSession.sparkContext.broadcast(net)  # of fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,28 +192,33 @@ def predict(df: DataFrame, net: Network | None, key: str = "doc_id", text: str =
         for b in batches:
             data, at = utf8(b.column(1))
             for i, j in cut(at, RUN_BYTES):
-                lang, score = guess(m, tables, data[at[i] : at[j]], at[i : j + 1] - at[i])
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(lang, pa.string()), pa.array(score)], ["doc_id", "lang_pred", "score"])
+                lang, score, none = guess(m, tables, data[at[i] : at[j]], at[i : j + 1] - at[i])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(lang, pa.string()), pa.array(score), pa.array(none)], ["doc_id", "lang_pred", "score", "none"])
+
+    return pairs(df, key, text).mapInArrow(run, "doc_id long, lang_pred string, score double, none double")
 
-    return pairs(df, key, text).mapInArrow(run, "doc_id long, lang_pred string, score double")
 
+def softmax(x: np.ndarray) -> np.ndarray:
+    p = np.exp(x - x.max(1, keepdims=True))
+    return p / p.sum(1, keepdims=True)
 
-def guess(m: Network | None, tables: list[list[np.ndarray]] | None, data: np.ndarray, at: np.ndarray) -> tuple[list[str], np.ndarray]:
+
+def guess(m: Network | None, tables: list[list[np.ndarray]] | None, data: np.ndarray, at: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The likeliest language, its score among the languages, and the score of none."""
     real = _has_letter(data, at)
     if m is None:
-        return ["und"] * len(real), np.zeros(len(real))
-    total = np.zeros((len(real), len(m.names)))
+        return ["und"] * len(real), np.zeros(len(real)), np.ones(len(real))
+    total = np.zeros((len(real), len(m.names) + 1))
     x, doc, size = windows(data, at)
     step = RUN_BYTES // WINDOW  # a long text's windows come in several runs
     for s in range(0, len(x), step):
         logits = pooled(x[s : s + step], tables) @ m.out + m.out_bias
         np.add.at(total, doc[s : s + step], logits * size[s : s + step, None])
     total /= np.maximum(1, np.diff(at))[:, None]
-    p = np.exp(total - total.max(1, keepdims=True))
-    p /= p.sum(1, keepdims=True)
+    p = softmax(total[:, :-1])
     best = p.argmax(1)
     lang = [m.names[k] if ok else "und" for k, ok in zip(best.tolist(), real.tolist(), strict=True)]
-    return lang, np.where(real, p[np.arange(len(p)), best], 0.0)
+    return lang, np.where(real, p[np.arange(len(p)), best], 0.0), np.where(real, softmax(total)[:, -1], 1.0)
 
 
 def judge(df: DataFrame) -> DataFrame:
@@ -206,8 +226,19 @@ def judge(df: DataFrame) -> DataFrame:
     return predict(df, train(df)).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
-def keep_known(df: DataFrame, net: Network | None, least: float = 0.0, text: str = "text") -> DataFrame:
-    """The rows of ``df`` with a language whose score is ``least`` or more, with all their columns."""
+def limit(df: DataFrame, net: Network | None, key: str = "doc_id", text: str = "text", lang: str = "lang") -> float:
+    """The score of none that at most ``REJECTED`` of the labelled rows outside the sample exceed,
+    0.5 at least; of at most ``HELD`` of those rows, all with a letter."""
+    rows = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang")).where("lang is not null")
+    ids = rows.where(held_out()).select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(HELD).distinct()
+    found = predict(rows.join(F.broadcast(ids), "doc_id"), net).where("lang_pred <> 'und'")
+    top = found.agg(F.percentile_approx("none", 1 - REJECTED, 10_000)).first()[0]
+    return max(0.5, top or 0.0)
+
+
+def keep_known(df: DataFrame, net: Network | None, most: float, text: str = "text") -> DataFrame:
+    """The rows of ``df`` with a letter whose score of none is ``most`` or less, with all their
+    columns.  Without a network there is no row whose language is known."""
     model = df.sparkSession.sparkContext.broadcast(net)
     place = df.columns.index(text)
 
@@ -218,8 +249,8 @@ def keep_known(df: DataFrame, net: Network | None, least: float = 0.0, text: str
             data, at = utf8(b.column(place))
             keep: list[bool] = []
             for i, j in cut(at, RUN_BYTES):
-                lang, score = guess(m, tables, data[at[i] : at[j]], at[i : j + 1] - at[i])
-                keep += [v != "und" and s >= least for v, s in zip(lang, score.tolist(), strict=True)]
+                lang, _, none = guess(m, tables, data[at[i] : at[j]], at[i : j + 1] - at[i])
+                keep += [v != "und" and s <= most for v, s in zip(lang, none.tolist(), strict=True)]
             if keep:
                 yield b.filter(pa.array(keep))
 

@@ -3,12 +3,14 @@
 A text is the set of its terms, hashed to ``BITS`` bits.  The score is the logistic
 function of  w0 + sum of w_i + half of (|sum of v_i|^2 - sum of |v_i|^2),  so two terms
 that mean little alone may mean much together.  It is learned with Adagrad from at most
-``SAMPLE`` labelled rows of each class outside the held-out fifth.  Terms whose rows don't
-differ between the classes (a likelihood ratio under ``SCREEN``) stay at zero, so that
-long texts don't drown in the noise of rare words.
+``SAMPLE`` labelled rows of each class outside the held-out fifth.  A term's weight and factors
+are scaled by what the rows can tell of it (:func:`evidence`): near 1 if its rows differ between
+the classes, or if it is frequent, so that its pairs can be learned though it tells nothing alone,
+and near 0 for a rare word like any other, so that long texts don't drown in their noise.
 
 Defined cases: a null text is an empty text, whose score is that of w0; a null label is
-no label; a doc_id that is labelled twice is learned twice; without labels of both kinds
+no label; a doc_id that is labelled twice is learned twice, one on several rows with its
+largest text; without labels of both kinds
 every score is the share of the positive ones (0 without any); an empty table gives an
 empty table; other columns are not looked at.
 """
@@ -28,7 +30,9 @@ from .samples import held_out, sample
 from .shingles import distinct_terms
 from .tokens import pairs
 
-BITS, FACTORS, SAMPLE, SCREEN, RUN_BYTES = 20, 4, 10_000, 20.0, 1 << 20
+BITS, FACTORS, SAMPLE, RUN_BYTES = 20, 4, 10_000, 1 << 20
+#: The likelihood ratio, and the share of all rows, at which a term counts half.
+RATIO, FREQUENT = 15.0, 0.2
 
 
 @dataclass
@@ -48,59 +52,67 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def telling(terms: np.ndarray, n: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Which terms' rows differ between the classes."""
+def evidence(terms: np.ndarray, n: np.ndarray, y: np.ndarray, size: int) -> np.ndarray:
+    """For each term, 0 to 1: 1 - (1 - g)(1 - h), g by how its rows differ between the classes, h by
+    the share of rows that have it; fourth powers, without a threshold."""
     mark = np.repeat(y, n)
-    pos, both = (np.bincount(t, minlength=1 << BITS).astype(float) for t in (terms[mark == 1], terms))
-    share, out = y.mean(), np.zeros(1 << BITS)
+    pos, both = (np.bincount(t, minlength=size).astype(float) for t in (terms[mark == 1], terms))
+    share, ratio = y.mean(), np.zeros(size)
     for part, total, p in ((pos, both, share), (both - pos, both, 1 - share), (y.sum() - pos, len(y) - both, share), ((len(y) - y.sum()) - (both - pos), len(y) - both, 1 - share)):
         with np.errstate(divide="ignore", invalid="ignore"):
-            out += np.where(part > 0, 2 * part * np.log(part / (total * p)), 0)
-    return out >= SCREEN
+            ratio += np.where(part > 0, 2 * part * np.log(part / (total * p)), 0)
+    g, h = (x**4 / (x**4 + half**4) for x, half in ((np.maximum(ratio, 0), RATIO), (both / len(y), FREQUENT)))
+    return (1 - (1 - g) * (1 - h)).astype(np.float32)
 
 
-def learn(terms: np.ndarray, n: np.ndarray, y: np.ndarray, epochs: int = 20, batch: int = 64, rate: float = 0.1, decay: float = 2e-5, seed: int = 7) -> Machine:
+def learn(terms: np.ndarray, n: np.ndarray, y: np.ndarray, epochs: int = 20, steps: int = 1000, batch: int = 64, rate: float = 0.1, decay: float = 2e-5, seed: int = 7) -> Machine:
+    """At least ``epochs`` times over the rows and ``steps`` batches."""
     rng = np.random.default_rng(seed)
-    w, v = np.zeros(1 << BITS, np.float32), np.zeros((1 << BITS, FACTORS), np.float32)
+    out = Machine(0.0, np.zeros(1 << BITS, np.float32), np.zeros((1 << BITS, FACTORS), np.float32))
     share = float(np.mean(y)) if len(y) else 0.0
     if not 0 < share < 1:
-        return Machine(30.0 if share else -30.0, w, v)
-    use = telling(terms, n, y)
-    v[use] = rng.normal(0, 0.02, (int(use.sum()), FACTORS))
+        out.w0 = 30.0 if share else -30.0
+        return out
+    names, own = np.unique(terms, return_inverse=True)
+    scale = evidence(own, n, y, len(names))
+    use = scale[own] > 1e-3  # a smaller scale moves no score
+    row = np.repeat(np.arange(len(y)), n)[use]
+    own, at = own[use], np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(y)))])
+    w, v = np.zeros(len(names), np.float32), rng.normal(0, 0.02, (len(names), FACTORS)).astype(np.float32)
     w0, gw, gv, g0 = float(np.log(share / (1 - share))), np.full_like(w, 1e-2), np.full_like(v, 1e-2), 1.0
-    at = np.concatenate([[0], np.cumsum(n)])
-    rows = [terms[s:e][use[terms[s:e]]] for s, e in zip(at[:-1], at[1:], strict=True)]
-    for _ in range(epochs):
+    for _ in range(max(epochs, -(-steps * batch // len(y)))):
         order = rng.permutation(len(y))
         for s in range(0, len(order), batch):
             pick = order[s : s + batch]
-            own = [rows[i] for i in pick]
-            size = np.array([len(x) for x in own])
-            t = np.concatenate(own)
+            size = at[pick + 1] - at[pick]
+            t = own[np.arange(int(size.sum())) + np.repeat(at[pick] - (np.cumsum(size) - size), size)]
             if not len(t):
                 continue
-            doc = np.repeat(np.arange(len(pick)), size)
+            doc, x = np.repeat(np.arange(len(pick)), size), scale[t]
             some = np.flatnonzero(size)
             first = (np.cumsum(size) - size)[some]
-            vt = v[t]
+            vt = v[t] * x[:, None]
             total = np.zeros((len(pick), FACTORS), np.float32)
             total[some] = np.add.reduceat(vt, first)
             z = np.full(len(pick), w0)
-            z[some] += np.add.reduceat(w[t], first)
+            z[some] += np.add.reduceat(w[t] * x, first)
             z[some] += 0.5 * ((total[some] ** 2).sum(1) - np.add.reduceat((vt * vt).sum(1), first))
-            err = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[pick]).astype(np.float32)
+            err = ((1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[pick]) / len(pick)).astype(np.float32)
             ids, inv = np.unique(t, return_inverse=True)
-            dw = np.bincount(inv, err[doc], len(ids)).astype(np.float32) / len(pick) + decay * w[ids]
-            part = err[doc][:, None] * (total[doc] - vt)
-            dv = np.stack([np.bincount(inv, part[:, f], len(ids)) for f in range(FACTORS)], 1).astype(np.float32) / len(pick) + decay * v[ids]
+            part = err[doc] * x
+            dw = np.bincount(inv, part, len(ids)).astype(np.float32) + decay * w[ids]
+            part = part[:, None] * (total[doc] - vt)
+            dv = np.stack([np.bincount(inv, part[:, f], len(ids)) for f in range(FACTORS)], 1).astype(np.float32) + decay * v[ids]
             gw[ids] += dw * dw
             gv[ids] += dv * dv
             w[ids] -= rate * dw / np.sqrt(gw[ids])
             v[ids] -= rate * dv / np.sqrt(gv[ids])
-            d0 = float(err.mean())
+            d0 = float(err.sum())
             g0 += d0 * d0
             w0 -= rate * d0 / g0**0.5
-    return Machine(w0, w, v)
+    real = scale > 1e-3
+    out.w0, out.w[names[real]], out.v[names[real]] = w0, (w * scale)[real], (v * scale[:, None])[real]
+    return out
 
 
 def features(df: DataFrame) -> DataFrame:
@@ -123,8 +135,10 @@ def train(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     marks = labels.select(F.col(key).cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where("doc_id is not null and y is not null")
     counts = marks.where(~held_out()).agg(F.count_if(F.expr("y = 1")).alias("pos"), F.count_if(F.expr("y = 0")).alias("neg")).first()
     picked = sample(marks.where("y = 1"), most).union(sample(marks.where("y = 0"), most))
-    rows = pairs(df, key, text).join(F.broadcast(picked), "doc_id").select("doc_id", "text", "y")
-    got = features(rows).toArrow().combine_chunks().sort_by("doc_id")
+    ids = picked.select("doc_id").distinct()
+    rows = pairs(df, key, text).join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.max("text").alias("text"))
+    rows = rows.join(F.broadcast(picked), "doc_id").select("doc_id", "text", "y")
+    got = features(rows).toArrow().combine_chunks().sort_by([("doc_id", "ascending"), ("y", "ascending")])
     if not got.num_rows:
         return learn(np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0))
     lists = got["terms"].combine_chunks()
