@@ -37,10 +37,33 @@ def test_urls(spark):
 
 
 def test_segmenter():
-    seg = urls.segmenter({"ththre": 50, "cheappills": 80})
+    seg = urls.segmenter({urls.slot("ththre"): 50})
     assert [seg.split(x) for x in ("cheappillsonline", "ththre", "freecasinobets", "q" * 60)] == [["cheap", "pills", "online"], ["ththre"], ["free", "casino", "bets"], ["q" * 60]]
 
 
+def test_urls_learn_from_the_rules(spark):
+    """On hosts that weren't learned from, and by words of the path as well as of the host."""
+    pages = spark.read.parquet(SF.replace("0.001", "0.1") + "/pages.parquet")
+    n, share = urls.agreement(pages)
+    assert n > 50 and share > 0.9
+    df = spark.createDataFrame([(1, "http://neutral.example.net/casino/poker-bonus"), (2, "http://neutral.example.net/garden/recipes"), (3, "http://" + "q" * 5000 + ".net/" + "z" * 5000), (4, None)], "page_id long, url string").withColumn("path", F.lit("x"))
+    got = {r["page_id"]: r["verdict"] for r in urls.judge(pages.select("page_id", "url", F.lit("x").alias("path")).union(df.selectExpr("-page_id", "url", "path"))).where("page_id < 0").collect()}
+    assert got == {-1: "block", -2: "allow", -3: "allow", -4: "allow"}
+
+
+def test_the_model_is_bounded_and_leaves_no_word_out(spark):
+    """A piece that occurs once is a word of the model; counts by slot are those of brute force."""
+    rows = [(i, f"http://w{chr(97 + i % 26)}xq{chr(97 + i // 26)}v.org/p") for i in range(200)]
+    seen = urls._words(urls.parsed(spark.createDataFrame(rows, "page_id long, url string"), urls.RULES, "page_id", "url"))
+    want = {}
+    for _, u in rows:
+        for p in re.findall("[a-z]+", u.split("://")[1]):
+            if len(p) >= 3:
+                want[urls.slot(p)] = want.get(urls.slot(p), 0) + 1
+    assert {k: seen[k] for k in want if k in seen} == {k: v for k, v in want.items() if k in seen}
+    assert len(seen) >= len({u.split("/")[2].split(".")[0] for _, u in rows}) * 0.9
+
+
 def likeness(a, b):
     a, b = sentences(a), sentences(b)
     return len(a & b) / len(a | b) if a | b else 1.0
