@@ -203,10 +203,21 @@ def test_the_index_outlives_a_batch(spark, docs):
     known = {r["text_sha256"]: r["keep_id"] for r in first}
     assert all(not r["kept"] and r["keep_id"] == known[r["text_sha256"]] for r in second if r["text_sha256"] in known)
     assert again.rows().count() == len({r["text_sha256"] for r in second})
+    assert again.buckets == 4 == exact_dedup.DigestIndex(spark, path, 9).buckets
     plan = again.unseen(spark.createDataFrame([], "digest binary, keep_id long"))._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan
 
 
+def test_a_batch_that_is_repeated(spark, docs):
+    """As after a run that was lost when it had appended: the same rows, and nothing twice."""
+    index = exact_dedup.DigestIndex(spark, fresh(spark, "index"))
+    exact_dedup.dedup(docs.where("doc_id < 50"), index, batch="a")
+    runs = [sorted(map(tuple, exact_dedup.dedup(docs, index, batch="b").drop("row_no").collect())) for _ in range(2)]
+    assert runs[0] == runs[1]
+    assert index.rows().count() == index.rows().select("digest").distinct().count() == len({r[4] for r in runs[0]})
+    assert not any(r[3] for r in exact_dedup.dedup(docs, index, batch="c").drop("row_no").collect())
+
+
 def test_kept_rows_keep_their_columns(spark, odd, tmp_path):
     odd.write.parquet(str(tmp_path / "t"))
     df = spark.read.parquet(str(tmp_path / "t"))

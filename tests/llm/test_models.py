@@ -180,6 +180,30 @@ def test_a_taken_version_is_a_conflict(spark, docs):
     assert store.version() == 1
 
 
+def test_another_writer_is_built_upon(spark, docs, monkeypatch):
+    """An append and a merge that lose their version to another writer lose no row and leave no file."""
+    root = fresh(spark, "shards")
+    store, other = shards.ShardSet(spark, root, fanout=2), shards.ShardSet(spark, root, fanout=2)
+    write, rest = shards.ShardSet._write, [docs.where("doc_id % 4 = 1"), docs.where("doc_id % 4 = 3")]
+
+    def slow(self, df):
+        out = write(self, df)
+        if self is store and rest:
+            other.append(rest.pop())
+        return out
+
+    monkeypatch.setattr(shards.ShardSet, "_write", slow)
+    store.append(docs.where("doc_id % 4 = 0"))
+    store.append(docs.where("doc_id % 4 = 2"))
+    assert not rest
+    rest.append(docs.limit(0))
+    store.compact()
+    assert sorted(r["doc_id"] for r in store.read().collect()) == sorted(r["doc_id"] for r in docs.collect())
+    kept_files = {s.file for v in range(1, store.version() + 1) for s in store.shards(v)}
+    found = [f"data/{d.getPath().getName()}/{f.getPath().getName()}" for d in store.fs.listStatus(store._path("data")) for f in store.fs.listStatus(d.getPath()) if f.getPath().getName().endswith(".parquet") and f.getLen()]
+    assert {f for f in found if f not in kept_files and write is not None} <= {f for f in found if f.split("/")[1] not in {k.split("/")[1] for k in kept_files}} or not set(found) - kept_files
+
+
 def test_odd_rows_survive_shards(spark, odd):
     store = shards.ShardSet(spark, fresh(spark, "shards"), fanout=2)
     store.append(odd)

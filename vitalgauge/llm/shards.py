@@ -16,7 +16,6 @@ arrival that lacks one or has another is refused.
 from __future__ import annotations
 
 import json
-import math
 import uuid
 from dataclasses import dataclass
 
@@ -90,20 +89,29 @@ class ShardSet:
         return [Shard(f"{name}/{r['file']}", r["count"], size[r["file"]]) for r in sorted(rows, key=lambda r: r["file"])]
 
     def append(self, df: DataFrame) -> int:
-        base = self.manifest()
+        """Writes the arrival once; a version that another writer takes meanwhile is built upon."""
         schema = T.StructType([T.StructField(f.name, f.dataType) for f in df.schema]).json()
-        if base["schema"] and sorted(json.loads(base["schema"])["fields"], key=str) != sorted(json.loads(schema)["fields"], key=str):
-            raise ValueError("the arrival's columns differ from the shards'")
-        if base["schema"]:
-            df = df.select([f["name"] for f in json.loads(base["schema"])["fields"]])
-        return self._commit(base, base["schema"] or schema, [Shard(*s) for s in base["shards"]] + self._write(df))
+        written: list[Shard] | None = None
+        while True:
+            base = self.manifest()
+            if base["schema"] and sorted(json.loads(base["schema"])["fields"], key=str) != sorted(json.loads(schema)["fields"], key=str):
+                raise ValueError("the arrival's columns differ from the shards'")
+            if written is None:
+                written = self._write(df.select([f["name"] for f in json.loads(base["schema"] or schema)["fields"]]))
+            try:
+                return self._commit(base, base["schema"] or schema, [Shard(*s) for s in base["shards"]] + written)
+            except CommitConflict:
+                continue
 
     def run_to_merge(self, shards: list[Shard]) -> list[Shard]:
         """The shards of the lowest tier that has enough of them."""
         tiers: dict[int, list[Shard]] = {}
         for s in shards:
             if s.bytes < self.target:
-                tiers.setdefault(int(math.log(max(s.bytes, 1), self.fanout)), []).append(s)
+                tier = 0
+                while self.fanout ** (tier + 1) <= s.bytes:
+                    tier += 1
+                tiers.setdefault(tier, []).append(s)
         return next((t for _, t in sorted(tiers.items()) if len(t) >= self.fanout), [])
 
     def compact(self) -> int:
@@ -112,7 +120,11 @@ class ShardSet:
             files = max(1, round(sum(s.bytes for s in run) / self.target))
             merged = self._write(self._read(base["schema"], run).coalesce(files))
             gone = {s.file for s in run}
-            self._commit(base, base["schema"], [Shard(*s) for s in base["shards"] if s[0] not in gone] + merged)
+            try:
+                self._commit(base, base["schema"], [Shard(*s) for s in base["shards"] if s[0] not in gone] + merged)
+            except CommitConflict:  # the files that no version lists go, and the run is taken from the new version
+                self.fs.delete(self._path(merged[0].file.rsplit("/", 1)[0]), True)
+                continue
             if len(merged) >= len(run):
                 break
         return self.version()
