@@ -12,6 +12,14 @@ from ..functions import markup, paths, severity
 from ..params import DEFAULT, Params
 
 
+def union(*layers: DataFrame) -> DataFrame:
+    """path of the documents of all layers, each once."""
+    out = layers[0].select("path")
+    for x in layers[1:]:
+        out = out.union(x.select("path"))
+    return out.distinct()
+
+
 def last_change(changes: DataFrame) -> DataFrame:
     return changes.groupBy("path").agg(F.max("ts").alias("doc_last"))
 

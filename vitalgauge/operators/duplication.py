@@ -23,11 +23,19 @@ def words_of(text: Column) -> Column:
     return F.regexp_extract_all(F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit(r"([\p{L}\p{N}_]+)"), 1)
 
 
+def prose_tokens(docs: DataFrame) -> DataFrame:
+    """path, tokens, lines: the words of (path, body) and the line of each, from 1."""
+    lines = F.split(F.coalesce("body", F.lit("")), "\n")
+    marked = F.flatten(F.transform(lines, lambda text, i: F.transform(words_of(text), lambda w: F.struct(w.alias("token"), (i + 1).cast("long").alias("line")))))
+    return docs.select("path", marked.alias("w")).select("path", F.col("w.token").alias("tokens"), F.col("w.line").alias("lines"))
+
+
 def windows(files: DataFrame, size: int) -> DataFrame:
     """path, pos, h of each run of ``size`` tokens; files: path, tokens array<string>.  A file
     shorter than a window has none."""
-    hashed = F.expr(f"transform(sequence(0, size(tokens) - {size}), i -> struct(cast(i as bigint) as pos, xxhash64(array_join(slice(tokens, i + 1, {size}), '\\u0001')) as h))")
-    return files.where(F.size("tokens") >= size).select("path", F.explode(hashed).alias("w")).select("path", "w.pos", "w.h")
+    rows = files.where(F.size("tokens") >= size).select("path", F.transform("tokens", lambda t: F.xxhash64(t)).alias("t"))
+    hashed = F.expr(f"transform(sequence(0, size(t) - {size}), i -> struct(cast(i as bigint) as pos, xxhash64(slice(t, i + 1, {size})) as h))")
+    return rows.select("path", F.explode(hashed).alias("w")).select("path", "w.pos", "w.h")
 
 
 def shared_windows(files: DataFrame, size: int) -> DataFrame:

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
 from ..functions import hashing, paths, severity
 from ..params import DEFAULT, Params, policy_for
 
@@ -135,7 +134,57 @@ def narrow(findings: DataFrame, workspace: str | None = None, prefix: str | None
     return out
 
 
-def sections(findings: DataFrame, top: int) -> DataFrame:
-    """The first ``top`` findings of each severity and hotspot bucket, worst first."""
-    w = Window.partitionBy("severity", "hotspot").orderBy(F.col("metric"), paths.key(F.col("location.file")), F.col("id"))
-    return findings.withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= top).orderBy(F.desc("severity_rank"), F.desc("hotspot"), "metric", paths.key(F.col("location.file")), "id")
+# The words before a number in a summary, and the labels of what has none.
+NUMBERED = {"ccn": ("CCN", ""), "cognitive": ("Cognitive", ""), "lcom": ("LCOM", ""), "coverage_pct": ("Coverage", "%"), "skip_ratio": ("Skip", "%")}
+LABELS = {
+    "change_coupling": "coupled", "change_coupling.symmetric": "coupled (sym)", "change_coupling.cross_workspace": "coupled (cross-ws)",
+    "change_coupling.expected": "coupled (expected)", "change_coupling.drift": "coupled (drift)",
+}
+
+
+def leading_number(metric: Column, summary: Column) -> Column:
+    """The number that a summary of a counting metric begins with, else null."""
+    out = F.lit(None).cast("double")
+    for name, (word, _) in NUMBERED.items():
+        out = F.when(metric == name, F.nullif(F.regexp_extract(summary, f"^{word}=([0-9]+)", 1), F.lit("")).cast("double")).otherwise(out)
+    return out
+
+
+def short_label(metric: Column, summary: Column) -> Column:
+    """A few letters for a finding in a list: its number, or its kind."""
+    out = metric
+    for name, label in LABELS.items():
+        out = F.when(metric == name, label).otherwise(out)
+    for name, (word, unit) in NUMBERED.items():
+        digits = F.regexp_extract(summary, f"^{word}=([0-9]+)", 1)
+        out = F.when(metric == name, F.when(digits == "", word).otherwise(F.concat(F.lit(f"{word}="), digits, F.lit(unit)))).otherwise(out)
+    return out
+
+
+def worst_first() -> list[Column]:
+    """The order of a list of findings: severity, hot ones, metric, file; then the id, so that it is total."""
+    return [F.desc("severity_rank"), F.desc("hotspot"), F.asc("metric"), paths.key(F.col("location.file")), F.asc("id")]
+
+
+def sections(findings: DataFrame, top: int | None = None) -> DataFrame:
+    """Findings with ``nth`` in their tier, worst first, and how many the tier has; at most ``top`` of
+    each tier.  Findings without a tier are in no section."""
+    shown = findings.where("tier is not null")
+    sizes = shown.groupBy("tier").agg(F.count("*").alias("in_tier"))  # a row a tier
+    out = shown.withColumn("nth", F.row_number().over(Window.partitionBy("tier").orderBy(*worst_first())))
+    out = out if top is None else out.where(F.col("nth") <= top)
+    return out.join(F.broadcast(sizes), "tier")
+
+
+def file_labels(findings: DataFrame) -> DataFrame:
+    """file, labels: a line for each file of a section, equal neighbours as ``label(n)``."""
+    label = short_label(F.col("metric"), F.col("summary"))
+    rows = findings.select(F.col("location.file").alias("file"), label.alias("label"), F.row_number().over(Window.partitionBy("location.file").orderBy(*worst_first(), "summary")).alias("at"))
+    runs = run_labels(rows, "file", "at", "label")
+    one = F.when(F.col("n") > 1, F.concat("label", F.lit("("), F.col("n").cast("string"), F.lit(")"))).otherwise(F.col("label"))
+    return runs.groupBy("file").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("run", one.alias("text")))), lambda x: x["text"]), "  ").alias("labels"))
+
+
+def overlaid(findings: DataFrame, accepted: DataFrame, fixed: DataFrame) -> DataFrame:
+    """Findings without those that are marked as fixed and are not back; accepted ones are marked."""
+    return accept(findings, accepted).join(fixed.select(F.col("finding_id").alias("id")).distinct(), "id", "left_anti")

@@ -26,7 +26,7 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """node, label: the smallest node reachable, for every node of (a, b); a node may be alone.
 
     A round takes the least label of the neighbours, then the label of that label, so rounds
@@ -35,7 +35,7 @@ def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
     edges = written(edges.select("a", "b").distinct())
     both = edges.union(edges.select("b", "a")).toDF("node", "other")
     labels = written(both.groupBy("node").agg(F.min("other").alias("o")).select("node", F.least("node", "o").alias("label")))
-    for _ in range(rounds):
+    while True:
         near = both.join(labels.withColumnRenamed("node", "other"), "other").select("node", "label")
         least = written(near.union(labels).groupBy("node").agg(F.min("label").alias("label")))
         jump = least.select(F.col("node").alias("label"), F.col("label").alias("far"))
@@ -43,7 +43,6 @@ def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
         if after.join(labels.withColumnRenamed("label", "was"), "node").where("label <> was").isEmpty():
             return after
         labels = after
-    return labels
 
 
 def cohesion(methods: DataFrame, edges: DataFrame) -> DataFrame:

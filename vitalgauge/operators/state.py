@@ -44,6 +44,22 @@ def visible(entries: DataFrame, show_all: bool = False, hide_accepted: bool = Fa
     return out
 
 
+def hidden(entries: DataFrame) -> DataFrame:
+    """One row: entries that :func:`visible` leaves out for their severity."""
+    return entries.agg(F.count("*").alias("all")).crossJoin(visible(entries).agg(F.count("*").alias("shown"))).select((F.col("all") - F.col("shown")).alias("hidden"))  # one row each
+
+
+def ordered(entries: DataFrame) -> DataFrame:
+    """Entries with ``nth``, their place in their bucket by id."""
+    return entries.withColumn("nth", F.row_number().over(Window.partitionBy("bucket").orderBy("id")))
+
+
+def payload(entries: DataFrame) -> DataFrame:
+    """bucket, id, json: each entry as one JSON object, fields without a value left out."""
+    fields = ["id", "metric", "from_severity", "to_severity", "from_hotspot", "to_hotspot"]
+    return entries.select("bucket", "id", F.to_json(F.struct(*fields)).alias("json"))
+
+
 def reconcile_fixed(fixed: DataFrame, findings: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Fixed entries that are found again, and those that stay fixed.  fixed: finding_id, ..."""
     ids = findings.select(F.col("id").alias("finding_id")).distinct()
@@ -65,6 +81,18 @@ def remove(table: DataFrame, keys: DataFrame, key: str = "finding_id") -> DataFr
     return table.join(keys.select(key).distinct(), key, "left_anti")
 
 
+def mark_fixed(fixed: DataFrame, findings: DataFrame, ids: list[str], commit: str) -> DataFrame:
+    """The table of fixed findings (finding_id, commit_sha, severity) with these findings put in or renewed."""
+    rows = findings.where(F.col("id").isin(ids)).select(F.col("id").alias("finding_id"), F.lit(commit).alias("commit_sha"), "severity")
+    return upsert(fixed, rows)
+
+
+def mark_accepted(accepted: DataFrame, findings: DataFrame, ids: list[str], reason: str) -> DataFrame:
+    """The table of accepted findings (finding_id, reason, severity_rank) with these put in or renewed."""
+    rows = findings.where(F.col("id").isin(ids)).select(F.col("id").alias("finding_id"), F.lit(reason).alias("reason"), "severity_rank")
+    return upsert(accepted, rows)
+
+
 def nudge(findings: DataFrame) -> DataFrame:
     """One row: how many hot files have too little coverage and weren't accepted."""
     bad = (F.col("metric") == "coverage_pct") & (F.col("severity_rank") >= 2) & F.col("hotspot") & ~F.col("accepted")

@@ -6,6 +6,7 @@ from dataclasses import dataclass, field
 
 SEVERITIES = ("ok", "medium", "high", "critical")
 MIN_SAMPLES = 5
+# The defaults of the settings, which results must equal.
 #: metric -> (floor from which a value is critical, floor under which it is ok)
 FLOORS = {
     "ccn": (25.0, 11.0), "cognitive": (50.0, 8.0), "duplication": (30.0, None), "coverage_pct": (95.0, 25.0), "skip_ratio": (20.0, 0.5),
@@ -55,3 +56,15 @@ def policy_for(params: Params, metric: str) -> dict[str, tuple[tuple[str, bool],
     dot, else the general one."""
     chain = [params.overrides.get(metric, {}), params.overrides.get(metric.split(".")[0], {}) if "." in metric else {}]
     return {tier: tuple(map(drain_spec, next((c[tier] for c in chain if tier in c), getattr(params, tier)))) for tier in ("must", "should")}
+
+
+def override_notes(floors: dict[str, tuple[float | None, float | None]]) -> list[str]:
+    """A line for each floor of the settings, (critical, ok) by metric, that differs from the default
+    of the two complexity metrics."""
+    out = []
+    for kind, which in (("floor_ok", 1), ("floor_critical", 0)):
+        for metric in ("ccn", "cognitive"):
+            value, base = floors.get(metric, (None, None))[which], FLOORS[metric][which]
+            if value is not None and value != base:
+                out.append(f"{metric} {kind}={value:g} [override from {base:g}]")
+    return out

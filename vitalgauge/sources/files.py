@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import re
+import tomllib
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
@@ -18,18 +20,50 @@ EXTRACTS = "kind string, path string, language string, name string, start_byte l
 
 
 def read_tree(spark: SparkSession, root: str, rules: Iterable[str] = ()) -> DataFrame:
-    """path, content, language of all files under a root of any file system; hidden and ignored
-    ones go."""
+    """path, content, language of all files under a root of any file system; hidden ones go, and those
+    that ``rules`` or an ignore file of the tree ignore, of which the deeper decides."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     base = root.rstrip("/").split("://")[-1]
     path = F.regexp_replace(F.regexp_replace("path", "^[a-z]+:/*", "/"), "^" + re.escape(base) + "/", "")
     rows = raw.select(path.alias("path"), F.decode("content", "UTF-8").alias("content")).where(~F.col("path").rlike(r"(^|/)\."))
-    rules = list(rules)
+    rules = [*tree_rules(spark, root), *rules]
     if rules:
         rows = rows.where(~Ignore(rules).column(F.col("path")))
     return rows.withColumn("language", paths.language(F.col("path")))
 
 
+def tree_rules(spark: SparkSession, root: str) -> list[str]:
+    """The rules of all ``.gitignore`` files under a root, as the root would state them, outer first."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(root)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    base, found, listed = fs.makeQualified(at).toUri().getPath().rstrip("/") + "/", [], fs.listFiles(at, True)
+    while listed.hasNext():
+        f = listed.next().getPath()
+        if f.getName() == ".gitignore":
+            stream = fs.open(f)
+            try:
+                found.append((f.getParent().toUri().getPath().removeprefix(base.rstrip("/")).strip("/"), spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")))
+            finally:
+                stream.close()
+    return [rebased(line, folder) for folder, text in sorted(found, key=lambda x: x[0].split("/") if x[0] else []) for line in text.splitlines()]
+
+
+def rebased(rule: str, folder: str) -> str:
+    """A rule of a folder's ignore file, as the root's would say it."""
+    text = rule.rstrip()
+    if not folder or not text or text.startswith("#"):
+        return rule
+    back, text = ("!", text[1:]) if text.startswith("!") else ("", text)
+    inside = "/" in text.rstrip("/")
+    return f"{back}/{folder}/{text.lstrip('/')}" if inside else f"{back}/{folder}/**/{text}"
+
+
+def excludes(git: Iterable[str], own: Iterable[str], workspaces: dict[str, list[str]]) -> list[str]:
+    """All rules in order of precedence, the last strongest: version control's, the settings', then
+    each workspace's, translated to the root."""
+    return [*git, *own, *(rebased(r, w) for w in sorted(workspaces) for r in workspaces[w])]
+
+
 class Ignore:
     """Ignore rules as version control has them: the last that fits decides, ``!`` takes back, a
     slash inside or in front anchors, one at the end means folders, ``**`` spans folders; what
@@ -138,3 +172,35 @@ def by_language(counts: DataFrame) -> DataFrame:
 def primary(counts: DataFrame, literate: tuple[str, ...] = lines.LITERATE) -> DataFrame:
     """One row: the language with the most code that isn't prose."""
     return by_language(counts).where(~F.col("language").isin(*literate)).orderBy(F.desc("code"), "language").limit(1).select("language")
+
+
+def manifests(files: DataFrame) -> dict[str, list[str]]:
+    """Declared folders of the workspaces by kind of manifest at the root: npm, pnpm, cargo, go.  A
+    pattern ``folder/*`` stands for the folders below it that have a file of their own.
+
+    files: path, content.  What comes to the driver is the root's few manifests, and of paths the
+    folders that a pattern names.
+    """
+    root = {r["path"]: r["content"] for r in files.where(F.col("path").isin("package.json", "pnpm-workspace.yaml", "Cargo.toml", "go.work")).select("path", "content").collect()}
+    said: dict[str, list[str]] = {}
+    if "package.json" in root:
+        given = json.loads(root["package.json"]).get("workspaces", [])
+        said["npm"] = given.get("packages", []) if isinstance(given, dict) else given
+    if "pnpm-workspace.yaml" in root:
+        said["pnpm"] = re.findall(r"^\s*-\s*['\"]?([^'\"#\n]+?)['\"]?\s*$", root["pnpm-workspace.yaml"], re.M)
+    if "Cargo.toml" in root:
+        said["cargo"] = tomllib.loads(root["Cargo.toml"]).get("workspace", {}).get("members", [])
+    if "go.work" in root:
+        block = re.search(r"use\s*\(([^)]*)\)", root["go.work"])
+        said["go"] = (block.group(1).split() if block else []) + re.findall(r"^use\s+([^\s(]+)", root["go.work"], re.M)
+    out: dict[str, list[str]] = {}
+    for kind, patterns in said.items():
+        found: set[str] = set()
+        for p in (p.removeprefix("./").rstrip("/") for p in patterns):
+            if p.endswith("/*"):
+                inside = files.where(F.col("path").startswith(p[:-1])).select(F.substring_index(F.expr(f"substring(path, {len(p)})"), "/", 1).alias("name"), "path")
+                found |= {p[:-1] + r["name"] for r in inside.where(F.col("path") != F.concat(F.lit(p[:-1]), "name")).select("name").distinct().collect()}
+            elif p and not p.startswith("!"):
+                found.add(p)
+        out[kind] = sorted(found)
+    return {k: v for k, v in out.items() if v}

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import tomllib
+import uuid
 from dataclasses import fields, replace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,9 +31,27 @@ def live_pairs(pairs: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def write_snapshot(findings: DataFrame, path: str, head: str | None, config_hash: str, clean: bool) -> None:
-    """Findings with their header in each row, as JSON lines in one folder that is replaced whole."""
+    """Findings with their header in each row, as JSON lines in one folder.  They are written beside
+    the old ones and take their name when they are complete."""
     stamped = findings.withColumns({"version": F.lit(SNAPSHOT_VERSION), "head_sha": F.lit(head), "config_hash": F.lit(config_hash), "worktree_clean": F.lit(clean)})
-    stamped.write.mode("overwrite").json(path)
+    aside = f"{path.rstrip('/')}.new-{uuid.uuid4().hex}"
+    stamped.write.json(aside)
+    swap(findings.sparkSession, aside, path)
+
+
+def swap(spark: SparkSession, made: str, path: str) -> None:
+    """Gives a complete folder the name of another; a failure leaves the old one under its name."""
+    new, at, old = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (made, path, f"{path.rstrip('/')}.old-{uuid.uuid4().hex}"))
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    had = fs.exists(at)
+    if had and not fs.rename(at, old):
+        raise OSError(f"{path} can't be replaced")
+    if not fs.rename(new, at):
+        if had:
+            fs.rename(old, at)
+        raise OSError(f"{path} can't be replaced")
+    if had:
+        fs.delete(old, True)
 
 
 def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
