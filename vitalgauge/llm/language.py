@@ -37,6 +37,8 @@ SAMPLE, RUN_BYTES = 3_000, 96 << 10
 #: Of the windows of a batch this share is put in random order; rows that set the limit for texts
 #: of no language, and the share of them that it may reject.
 SCRAMBLED, HELD, REJECTED = 0.2, 3_000, 0.001
+#: Bytes under which a text is too short to be told from one of no language.
+SHORT = 24
 _LOW = np.arange(256, dtype=np.uint8)
 _LOW[65:91] = _LOW[97:123]
 _LETTER = np.zeros(256, bool)
@@ -204,7 +206,8 @@ def softmax(x: np.ndarray) -> np.ndarray:
 
 
 def guess(m: Network | None, tables: list[list[np.ndarray]] | None, data: np.ndarray, at: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """The likeliest language, its score among the languages, and the score of none."""
+    """The likeliest language, its score among the languages, and the score of none: 1 for a text
+    without a letter, 0 for one of under ``SHORT`` bytes."""
     real = _has_letter(data, at)
     if m is None:
         return ["und"] * len(real), np.zeros(len(real)), np.ones(len(real))
@@ -218,7 +221,7 @@ def guess(m: Network | None, tables: list[list[np.ndarray]] | None, data: np.nda
     p = softmax(total[:, :-1])
     best = p.argmax(1)
     lang = [m.names[k] if ok else "und" for k, ok in zip(best.tolist(), real.tolist(), strict=True)]
-    return lang, np.where(real, p[np.arange(len(p)), best], 0.0), np.where(real, softmax(total)[:, -1], 1.0)
+    return lang, np.where(real, p[np.arange(len(p)), best], 0.0), np.where(real, np.where(np.diff(at) < SHORT, 0.0, softmax(total)[:, -1]), 1.0)
 
 
 def judge(df: DataFrame) -> DataFrame:
