@@ -195,21 +195,21 @@ def next_of(rows: DataFrame, nav: DataFrame) -> DataFrame:
     if several.isEmpty():
         return out
     salted = several.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    top = rows.withColumn("salt", F.pmod("h", F.lit(SALTS)).cast("int")).join(salted, ["k", "salt"]).groupBy("k", "salt", "user", "need").agg(F.max("text").alias("text"))
+    top = rows.withColumn("salt", F.pmod(F.xxhash64("text"), F.lit(SALTS)).cast("int")).join(salted, ["k", "salt"]).groupBy("k", "salt", "user", "need").agg(F.max("text").alias("text"))
     return out.union(top.groupBy("k", "user", "need").agg(F.max("text").alias("text")).select(take))
 
 
 def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
-    The text is shuffled once, by doc_id; the next document sends its needed characters and its
+    The text is shuffled once, by doc_id, for both joins; the next document sends its needed characters and its
     digests.
     """
     spark, name = df.sparkSession, "digests_" + uuid.uuid4().hex
-    rows = df.select(F.coalesce(F.col(key).cast("long"), F.lit(_NONE)).alias("k"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
+    rows = df.select(F.coalesce(F.col(key).cast("long"), F.lit(_NONE)).alias("k"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     with Scratch(spark, "fingerprints") as s:
         nav = s.kept(neighbours(rows.select("k", F.expr("cast(char_length(text) div 3 AS BIGINT)").alias("need")), s), "neighbours")
-        out = rows.join(next_of(rows, nav), "k").withColumn("n", F.char_length("text"))
+        out = rows.join(next_of(rows, nav), "k").withColumns({"h": F.xxhash64("text"), "n": F.char_length("text")})
         out = out.withColumn("edited", F.expr("concat(left(text, n - n div 3), left(head, cast(n div 3 AS INT)))"))
         out = out.select(*KEY, "n", F.sha2("edited", 256).alias("edited_sha256"), F.expr(digests("text")).alias("own_d"), F.expr(digests("edited")).alias("edited_d"), "next_d")
         buckets = min(parallelism(df), 10_000)
