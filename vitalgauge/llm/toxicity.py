@@ -55,8 +55,11 @@ class Machine:
 def evidence(terms: np.ndarray, n: np.ndarray, y: np.ndarray, size: int) -> np.ndarray:
     """For each term, 0 to 1: 1 - (1 - g)(1 - h), g by how its rows differ between the classes, h by
     the share of rows that have it; fourth powers, without a threshold."""
-    mark = np.repeat(y, n)
-    pos, both = (np.bincount(t, minlength=size).astype(float) for t in (terms[mark == 1], terms))
+    mark, pos, both = np.repeat(y == 1, n), np.zeros(size), np.zeros(size)
+    for s in range(0, len(terms), 1 << 20):  # a count's own copies stay small
+        part = terms[s : s + (1 << 20)]
+        pos += np.bincount(part[mark[s : s + (1 << 20)]], minlength=size)
+        both += np.bincount(part, minlength=size)
     share, ratio = y.mean(), np.zeros(size)
     for part, total, p in ((pos, both, share), (both - pos, both, 1 - share), (y.sum() - pos, len(y) - both, share), ((len(y) - y.sum()) - (both - pos), len(y) - both, 1 - share)):
         with np.errstate(divide="ignore", invalid="ignore"):
@@ -73,11 +76,15 @@ def learn(terms: np.ndarray, n: np.ndarray, y: np.ndarray, epochs: int = 20, ste
     if not 0 < share < 1:
         out.w0 = 30.0 if share else -30.0
         return out
-    names, own = np.unique(terms, return_inverse=True)
+    seen = np.zeros(1 << BITS, bool)
+    seen[terms] = True
+    names, number = np.flatnonzero(seen), (np.cumsum(seen) - 1).astype(np.int32)
+    own = number[terms]
     scale = evidence(own, n, y, len(names))
     use = scale[own] > 1e-3  # a smaller scale moves no score
-    row = np.repeat(np.arange(len(y)), n)[use]
-    own, at = own[use], np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(y)))])
+    at = np.append(np.int32(0), np.cumsum(use, dtype=np.int32))[np.append(0, np.cumsum(n))].astype(np.int64)
+    own = own[use]
+    del use, number, seen
     w, v = np.zeros(len(names), np.float32), rng.normal(0, 0.02, (len(names), FACTORS)).astype(np.float32)
     w0, gw, gv, g0 = float(np.log(share / (1 - share))), np.full_like(w, 1e-2), np.full_like(v, 1e-2), 1.0
     for _ in range(max(epochs, -(-steps * batch // len(y)))):
@@ -144,7 +151,9 @@ def train(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     lists = got["terms"].combine_chunks()
     lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
     y = got["y"].to_numpy()
-    machine = learn(lists.flatten().to_numpy(), lists.value_lengths().to_numpy().astype(np.int64), y)
+    terms, n = lists.flatten().to_numpy(), lists.value_lengths().to_numpy().astype(np.int64)
+    del got, lists
+    machine = learn(terms, n, y)
     all_pos, all_neg, pos, neg = counts["pos"] or 0, counts["neg"] or 0, int(y.sum()), int((y == 0).sum())
     if min(all_pos, all_neg, pos, neg) > 0:  # the classes' shares among all labels, not in the sample
         machine.w0 += float(np.log(all_pos / all_neg) - np.log(pos / neg))
