@@ -10,6 +10,7 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow.parquet as pq
 import pytest
 from tokenizers import Tokenizer
 
@@ -119,6 +120,13 @@ def test_token_files(spark, docs, odd, none, tmp_path):
         ids = [*ids, 1]
         assert tuple(rows[r["doc_id"]]) == (r["doc_id"], start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
         start += len(ids)
+    for file in (tmp_path / "t").glob("*.parquet"):
+        group = pq.ParquetFile(file).metadata.row_group(0)
+        columns = {c.path_in_schema: c for c in map(group.column, range(group.num_columns))}
+        assert "RLE_DICTIONARY" in columns["ids.list.element"].encodings
+        for name in ("doc_id", "local_start", "n_tokens"):
+            assert "DELTA_BINARY_PACKED" in columns[name].encodings and "RLE_DICTIONARY" not in columns[name].encodings
+        assert all(c.has_offset_index for c in columns.values()) and columns["doc_id"].has_column_index
     some = token_files.read_token_files(spark, path, 10, 12, ("doc_id", "meta_lang"))
     assert sorted(r["doc_id"] for r in some.collect()) == [10, 11, 12]
     plan = some._jdf.queryExecution().executedPlan().toString()
