@@ -2,26 +2,31 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from itertools import count
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the session names it; a new one under tests."""
+    """The folder that driver and executors share, as the session names it.  A session without one
+    gets a temporary folder only where all of Spark is one process."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if not held.isDefined() and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         at = held.get() if held.isDefined() else "file://" + tempfile.mkdtemp(prefix="vitalgauge-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
 
 
-def written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame, path: str | None = None) -> DataFrame:
     """The frame as a table in the shared folder: lineage ends, and no executor's loss loses it."""
-    path = f"{shared_folder(df.sparkSession)}/vitalgauge/graph-{uuid.uuid4().hex}"
+    path = path or f"{shared_folder(df.sparkSession)}/vitalgauge/graph-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -30,17 +35,28 @@ def components(edges: DataFrame) -> DataFrame:
     """node, label: the smallest node reachable, for every node of (a, b); a node may be alone.
 
     A round takes the least label of the neighbours, then the label of that label, so rounds
-    grow with the logarithm of the longest path.
+    grow with the logarithm of the longest path.  Of the rounds' tables only the last stays.
     """
-    edges = written(edges.select("a", "b").distinct())
+    spark, base = edges.sparkSession, f"{shared_folder(edges.sparkSession)}/vitalgauge/graph-{uuid.uuid4().hex}"
+    folder = spark._jvm.org.apache.hadoop.fs.Path
+
+    def drop(*names: str) -> None:
+        for n in names:
+            at = folder(f"{base}/{n}")
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+    edges = written(edges.select("a", "b").distinct(), f"{base}/edges")
     both = edges.union(edges.select("b", "a")).toDF("node", "other")
-    labels = written(both.groupBy("node").agg(F.min("other").alias("o")).select("node", F.least("node", "o").alias("label")))
-    while True:
+    labels = written(both.groupBy("node").agg(F.min("other").alias("o")).select("node", F.least("node", "o").alias("label")), f"{base}/labels0")
+    for n in count():
         near = both.join(labels.withColumnRenamed("node", "other"), "other").select("node", "label")
-        least = written(near.union(labels).groupBy("node").agg(F.min("label").alias("label")))
+        least = written(near.union(labels).groupBy("node").agg(F.min("label").alias("label")), f"{base}/least{n}")
         jump = least.select(F.col("node").alias("label"), F.col("label").alias("far"))
-        after = written(least.join(jump, "label", "left").select("node", F.least("label", F.coalesce("far", "label")).alias("label")))
-        if after.join(labels.withColumnRenamed("label", "was"), "node").where("label <> was").isEmpty():
+        after = written(least.join(jump, "label", "left").select("node", F.least("label", F.coalesce("far", "label")).alias("label")), f"{base}/labels{n + 1}")
+        done = after.join(labels.withColumnRenamed("label", "was"), "node").where("label <> was").isEmpty()
+        drop(f"labels{n}", f"least{n}")
+        if done:
+            drop("edges")
             return after
         labels = after
 
