@@ -48,12 +48,12 @@ def fresh(spark: SparkSession, label: str) -> str:
     return f"{shared(spark)}/vitalgauge/{label}-{uuid.uuid4().hex}"
 
 
-def kept(df: DataFrame, label: str) -> DataFrame:
+def kept(df: DataFrame, label: str, codec: str = "lz4") -> DataFrame:
     """The frame, written to the shared folder and read again: lineage ends here, and the
     rows outlive any executor."""
     spark = df.sparkSession
     path = fresh(spark, label)
-    df.write.option("compression", "lz4").parquet(path)
+    df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -216,7 +216,7 @@ def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text") -> Data
         out = out.repartition(buckets, *KEY).write.bucketBy(buckets, *KEY).format("parquet").option("path", f"{s.path}/digests")
         out.saveAsTable(name)
         try:
-            return kept(_judged(spark.table(name), s), "fingerprints")
+            return kept(_judged(spark.table(name), s), "fingerprints", "zstd")  # hex digits, which lz4 leaves as they are
         finally:
             spark.sql(f"DROP TABLE {name}")
 
