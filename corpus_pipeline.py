@@ -16,10 +16,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the documents that the network finds likelier of no language than nearly all
-    labelled ones outside its sample, and those without a letter."""
+    """Without the documents that the network, learned from all labelled rows but the held-out
+    fifth, finds likelier of no language than nearly all of that fifth, and those without a letter."""
     prepare(spark)
-    net = language.train(docs)
+    net = language.train_whole(docs)
     return language.keep_known(docs, net, language.limit(docs, net))
 
 

@@ -3,8 +3,8 @@
 A text is cut into windows of ``WINDOW`` bytes, the last one filled with zeros.  In a
 window each byte has an embedding; filters of several widths run over it, their largest
 outputs go to a softmax.  A text's logits are the mean of its windows' logits, weighted by
-their bytes, so all of it counts.  Learned in numpy from all windows of at most ``SAMPLE`` rows
-outside the held-out fifth.
+their bytes, so all of it counts.  Learned in numpy outside the held-out fifth: by :func:`train`
+from all windows of at most ``SAMPLE`` rows, by :func:`train_whole` from those of all rows.
 
 Beside the languages the network has a class for text of none: it learns it from windows of the
 same rows whose bytes are in random order.  A predicted language is always one of the rows';
@@ -20,23 +20,31 @@ table gives an empty table; other columns are not looked at.
 
 from __future__ import annotations
 
+import copy
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, utf8
+from .common import Scratch, cut, utf8
 from .samples import held_out, sample
 from .tokens import pairs
 
 WINDOW, EMBEDDING, FILTERS, WIDTHS = 192, 8, 16, (2, 3, 4)
 SAMPLE, RUN_BYTES = 3_000, 96 << 10
-#: Of the windows of a batch this share is put in random order; rows that set the limit for texts
-#: of no language, and the share of them that it may reject.
-SCRAMBLED, HELD, REJECTED = 0.2, 3_000, 0.001
+#: Windows of a group of rows that one task learns from, and by how much groups get more from
+#: round to round.
+GROUP, FASTER = 40_000, 4
+#: Parameters are added up as whole multiples of this, so the order of groups doesn't count.
+GRAIN = 2.0**-24
+#: Of the windows of a batch this share is put in random order; and the share of held-out rows that
+#: the limit for texts of no language may reject.
+SCRAMBLED, REJECTED = 0.2, 0.001
 #: Bytes under which a text is too short to be told from one of no language.
 SHORT = 24
 _LOW = np.arange(256, dtype=np.uint8)
@@ -54,6 +62,9 @@ class Network:
     out: np.ndarray  # FILTERS * len(WIDTHS) x (languages and none)
     out_bias: np.ndarray
 
+    def params(self) -> list[np.ndarray]:
+        return [self.embedding, *self.taps, self.bias, self.out, self.out_bias]
+
     def tables(self) -> list[list[np.ndarray]]:
         """For each width, rows by byte pair (two taps) and by byte (the odd tap)."""
         t = []
@@ -100,12 +111,18 @@ def scrambled(x: np.ndarray, rng: np.random.Generator) -> np.ndarray:
     return np.take_along_axis(x, order, 1)
 
 
-def learn(x: np.ndarray, y: np.ndarray, names: list[str], epochs: int = 2, steps: int = 600, batch: int = 64, rate: float = 0.003, seed: int = 11) -> Network:
-    """Adam on the cross entropy of single windows, at least ``epochs`` times over them and ``steps`` batches."""
-    rng = np.random.default_rng(seed)
+def untrained(names: list[str], rng: np.random.Generator) -> Network:
     c, width = len(names) + 1, FILTERS * len(WIDTHS)
-    net = Network(names, rng.normal(0, 0.5, (256, EMBEDDING)).astype(np.float32), [rng.normal(0, (2 / (w * EMBEDDING)) ** 0.5, (w, EMBEDDING, FILTERS)).astype(np.float32) for w in WIDTHS], np.zeros(width, np.float32), rng.normal(0, 0.1, (width, c)).astype(np.float32), np.zeros(c, np.float32))
-    params = [net.embedding, *net.taps, net.bias, net.out, net.out_bias]
+    return Network(names, rng.normal(0, 0.5, (256, EMBEDDING)).astype(np.float32), [rng.normal(0, (2 / (w * EMBEDDING)) ** 0.5, (w, EMBEDDING, FILTERS)).astype(np.float32) for w in WIDTHS], np.zeros(width, np.float32), rng.normal(0, 0.1, (width, c)).astype(np.float32), np.zeros(c, np.float32))
+
+
+def learn(x: np.ndarray, y: np.ndarray, names: list[str], epochs: int = 2, steps: int = 600, batch: int = 64, rate: float = 0.003, seed: int = 11, start: Network | None = None) -> Network:
+    """Adam on the cross entropy of single windows, at least ``epochs`` times over them and ``steps``
+    batches; from a copy of ``start`` if given."""
+    rng = np.random.default_rng(seed)
+    width = FILTERS * len(WIDTHS)
+    net = copy.deepcopy(start) if start else untrained(names, rng)
+    params = net.params()
     m1, m2, step = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
     for _ in range(max(epochs, -(-steps * batch // max(1, len(y))))):
         order = rng.permutation(len(y))
@@ -176,6 +193,74 @@ def train(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
     return learn(x, np.array([names.index(v) for v in langs]), names)
 
 
+def _labelled(df: DataFrame, key: str, text: str, lang: str) -> DataFrame:
+    return df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang")).where("lang is not null")
+
+
+def train_whole(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> Network | None:
+    """From all windows of all labelled rows outside the held-out fifth.  Rows are dealt into groups
+    of about ``GROUP`` windows by a hash.  The first group starts the network; in each later round
+    ``FASTER`` times as many groups as before go on from it at once, and it becomes the mean of
+    theirs, weighted by windows.  How rows lie in partitions changes nothing; the driver gets a sum of
+    parameters from each task.  None without a labelled row."""
+    rows = _labelled(df, key, text, lang).where(~held_out())
+    n = F.greatest(F.lit(1), F.ceil(F.octet_length(F.coalesce("text", F.lit(""))) / WINDOW))
+    names, size = rows.agg(F.sort_array(F.collect_set("lang")), F.sum(n)).first()
+    if not names:
+        return None
+    groups = -(-size // GROUP)
+    rows = rows.withColumn("deal", F.xxhash64("doc_id", "text")).withColumn("part", F.pmod("deal", F.lit(groups)))
+    net, begin, end = None, 0, 1
+    while begin < groups:
+        net = _mean_of_groups(rows.where((F.col("part") >= begin) & (F.col("part") < end)), names, net)
+        begin, end = end, end * FASTER
+    return net
+
+
+def _mean_of_groups(rows: DataFrame, names: list[str], start: Network | None) -> Network | None:
+    """``start`` taught by each group on its own, and the mean of what comes out."""
+    model = rows.sparkSession.sparkContext.broadcast(start)
+    most, how = 2 * GROUP, {"epochs": 1, "steps": 0} if start else {}
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        for b in batches:
+            data, at = utf8(b.column(1))
+            part, y = b.column(0).to_numpy(), pc.index_in(b.column(2), pa.array(names)).to_numpy()
+            for i, j in cut(at, RUN_BYTES):
+                for s in range(at[i], max(at[j], at[i] + 1), RUN_BYTES):  # a long text's windows come in several runs
+                    e = min(at[j], s + RUN_BYTES)
+                    x, doc, _ = windows(data[s:e], np.clip(at[i : j + 1], s, e) - s)
+                    for p in np.unique(part[i:j]):
+                        of = part[i:j][doc] == p
+                        yield p, x[of], y[i:j][doc[of]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, count = 0, 0
+        for _, group in groupby(runs(batches), key=lambda r: r[0]):
+            m, xs, ys, held, n = model.value, [], [], 0, 0
+            for _, x, y in group:
+                if held and held + len(x) > most:  # equal rows, or a very long one: one after the other
+                    m, n, xs, ys, held = learn(np.concatenate(xs), np.concatenate(ys), names, **how, start=m), n + held, [], [], 0
+                xs.append(x)
+                ys.append(y)
+                held += len(x)
+            m, n = learn(np.concatenate(xs), np.concatenate(ys), names, **how, start=m), n + held
+            total += np.rint(np.concatenate([q.ravel() for q in m.params()]) / GRAIN).astype(np.int64) * n
+            count += n
+        if count:
+            yield pa.RecordBatch.from_arrays([pa.array([count]), pa.array([total.tobytes()], pa.binary())], ["n", "total"])
+
+    dealt = rows.repartition("part").sortWithinPartitions("part", "deal", "doc_id", "text", "lang").select("part", "text", "lang")
+    got = dealt.mapInArrow(run, "n long, total binary").collect()
+    if not got:
+        return start
+    mean = sum(np.frombuffer(r["total"], np.int64) for r in got) / sum(r["n"] for r in got) * GRAIN
+    net = untrained(names, np.random.default_rng(0))
+    for q in net.params():
+        q[...], mean = mean[: q.size].reshape(q.shape), mean[q.size :]
+    return net
+
+
 def _has_letter(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     out = np.diff(np.concatenate([[0], np.cumsum(_LETTER[data])])[at]) > 0
     for i in np.flatnonzero(~out & (np.diff(at) > 0)):
@@ -230,13 +315,13 @@ def judge(df: DataFrame) -> DataFrame:
 
 
 def limit(df: DataFrame, net: Network | None, key: str = "doc_id", text: str = "text", lang: str = "lang") -> float:
-    """The score of none that at most ``REJECTED`` of the labelled rows outside the sample exceed,
-    0.5 at least; of at most ``HELD`` of those rows, all with a letter."""
-    rows = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang")).where("lang is not null")
-    ids = rows.where(held_out()).select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(HELD).distinct()
-    found = predict(rows.join(F.broadcast(ids), "doc_id"), net).where("lang_pred <> 'und'")
-    top = found.agg(F.percentile_approx("none", 1 - REJECTED, 10_000)).first()[0]
-    return max(0.5, top or 0.0)
+    """The score of none that at most ``REJECTED`` of the labelled held-out rows with a letter
+    exceed, 0.5 at least.  All of those rows are scored, and the rank is exact."""
+    rows = _labelled(df, key, text, lang).where(held_out())
+    with Scratch(df.sparkSession, "limit") as scratch:
+        scores = scratch.kept(predict(rows, net).where("lang_pred <> 'und'").select("none"), "none")
+        top = scores.orderBy(F.desc("none")).offset(int(scores.count() * REJECTED)).first()
+    return max(0.5, top["none"] if top else 0.0)
 
 
 def keep_known(df: DataFrame, net: Network | None, most: float, text: str = "text") -> DataFrame:
