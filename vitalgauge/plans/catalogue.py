@@ -470,7 +470,7 @@ def lcom_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders and the parts in them: all of them are one graph, too large for recursive SQL; tests hold
     it against brute force."""
     line = tables.table(spark, sf_dir, "lineitem")
-    return graphs.components(line.select(F.concat(F.lit("o/"), F.col("l_orderkey").cast("string")).alias("a"), F.concat(F.lit("p/"), F.col("l_partkey").cast("string")).alias("b")))
+    return graphs.components(line.select(F.concat(F.lit("o/"), F.col("l_orderkey").cast("string")).alias("a"), F.concat(F.lit("p/"), F.col("l_partkey").cast("string")).alias("b")), ready=True)
 
 
 SNAP = """SELECT 'ccn:c/' || CAST(o_custkey AS VARCHAR) id, CAST(greatest(0, least(floor((count(*) + {shift}) / 4), 3)) AS INTEGER) r, count(*) % 2 = 0 hot, o_custkey % 7 = 0 acc FROM orders WHERE o_orderdate < TIMESTAMP '{until}' GROUP BY o_custkey"""
