@@ -47,3 +47,23 @@ def test_components_of_nodes_with_equal_hashes(spark):
     rows = [(("k", None), ("a", "a")), ((None, "k"), ("b", "b"))]
     got = graphs.components(spark.createDataFrame(rows, f"a {node}, b {node}"))
     assert got.count() == 4 and got.select("label").distinct().count() == 2
+
+
+@pytest.mark.parametrize("name", ["lcom_classes"])
+def test_classes_are_dealt_out_once(spark, name):
+    """One shuffle of the methods; before, components over the methods of all classes."""
+    plan = plan_of(catalogue.QUERIES[name](spark, SF))
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.count("Scan parquet") == 1 and "lineitem" in plan
+
+
+def test_a_class_over_several_batches(spark, monkeypatch):
+    """Classes are cut between batches, never inside one; a class without a name is one, too."""
+    monkeypatch.setattr(graphs, "BATCH", 3)
+    links = [(s, f"m{i}", f"m{i // 4 * 4}") for s, n in (("a", 1), ("b", 9), ("c", 2), (None, 5), ("d", 16)) for i in range(n)]
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    try:
+        got = graphs.clusters(spark.createDataFrame(links, "scope string, a string, b string").repartition(3)).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert {tuple(r) for r in got} == {("a", 1, 1), ("b", 3, 9), ("c", 1, 2), (None, 2, 5), ("d", 4, 16)}

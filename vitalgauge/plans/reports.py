@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import churn, coverage, docs, findings, graphs, hotspots, ranking, state, totals
+from ..operators.spread import spread
 from ..params import override_notes as notes
 from ..sources import tables
 from . import catalogue as c
@@ -23,9 +24,8 @@ CLASSES = "cl AS (SELECT CAST(l_orderkey AS VARCHAR) scope, count(DISTINCT l_ret
 def _classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An order as a class: its lines are methods, and those of the same two flags share a field."""
     line = tables.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("string").alias("scope"), F.concat_ws(":", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice").alias("method"), F.concat("l_returnflag", "l_linestatus").alias("field"))
-    first = line.groupBy("scope", "field").agg(F.min("method").alias("a"))
-    edges = line.join(first, ["scope", "field"]).select("scope", "a", F.col("method").alias("b")).where("a <> b")
-    return graphs.cohesion(line.select("scope", "method"), edges)
+    first = F.min("method").over(Window.partitionBy("scope", "field"))
+    return graphs.clusters(spread(line, "scope").select("scope", F.when(F.col("field").isNull(), F.col("method")).otherwise(first).alias("a"), F.col("method").alias("b")))
 
 
 @query(f"WITH {CLASSES} SELECT * FROM cl")
