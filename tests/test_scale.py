@@ -49,7 +49,7 @@ def test_components_of_nodes_with_equal_hashes(spark):
     assert got.count() == 4 and got.select("label").distinct().count() == 2
 
 
-@pytest.mark.parametrize("name", ["lcom_classes", "worst_lcom"])
+@pytest.mark.parametrize("name", ["lcom_classes", "worst_lcom", "lcom_totals"])
 def test_classes_are_dealt_out_once(spark, name):
     """One shuffle of the methods; before, components over the methods of all classes."""
     plan = plan_of(catalogue.QUERIES[name](spark, SF))
