@@ -7,7 +7,7 @@ import random
 import pytest
 from conftest import SF
 
-from vitalgauge.operators import graphs
+from vitalgauge.operators import churn, graphs, spread
 from vitalgauge.plans import catalogue
 
 
@@ -67,3 +67,19 @@ def test_a_class_over_several_batches(spark, monkeypatch):
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
     assert {tuple(r) for r in got} == {("a", 1, 1), ("b", 3, 9), ("c", 1, 2), (None, 2, 5), ("d", 4, 16)}
+
+
+@pytest.mark.parametrize("name", ["churn_files"])
+def test_changes_are_dealt_out_before_they_are_summed(spark, monkeypatch, name):
+    """As many tasks as the table asks for; before, the session's number held the sums of any input."""
+    monkeypatch.setattr(spread, "TASK_BYTES", 1 << 12)
+    plan = plan_of(catalogue.QUERIES[name](spark, SF))
+    first = plan[plan.index("REPARTITION_BY_NUM") :]
+    assert "Aggregate" not in first and "Scan parquet" in first
+
+
+def test_a_commit_of_one_file_in_two_rows(spark):
+    """Only changes that have one row for each commit and file may be counted as they are."""
+    rows = spark.createDataFrame([("1", "a", 1, 0), ("1", "a", 2, 0), ("2", "a", 1, 1), (None, "a", 1, 0)], "sha string, path string, added long, deleted long")
+    assert [tuple(r) for r in churn.churn_files(rows).collect()] == [("a", 2, 5, 1)]
+    assert [tuple(r) for r in churn.churn_files(rows.where("added <> 2"), unique=True).collect()] == [("a", 2, 3, 1)]

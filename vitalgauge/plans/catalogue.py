@@ -46,7 +46,7 @@ CUTOFF = 1_000_000_000_000
 
 @query(f"WITH {CF}, {CHURN} SELECT * FROM churn")
 def churn_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return churn.churn_files(tables.commit_files(spark, sf_dir))
+    return churn.churn_files(tables.commit_files(spark, sf_dir), unique=True)
 
 
 @query(f"WITH {CF} SELECT count(DISTINCT path) files, count(DISTINCT sha) commits, CAST(sum(added) AS BIGINT) added, CAST(sum(deleted) AS BIGINT) deleted FROM cf")
@@ -151,7 +151,7 @@ HOT = f"WITH {CF}, {CHURN}, {FN}, cx AS (SELECT path, CAST(sum(ccn) AS BIGINT) c
 
 
 def _hotspots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hotspots.hotspot(churn.churn_files(tables.commit_files(spark, sf_dir)), tables.functions(spark, sf_dir))
+    return hotspots.hotspot(churn_files(spark, sf_dir), tables.functions(spark, sf_dir))
 
 
 @query(f"{HOT} SELECT * FROM hs")
@@ -161,7 +161,7 @@ def hotspot_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{HOT} SELECT path, commits, ccn_sum, CAST(6 * ccn_sum * commits AS DOUBLE) score FROM hs")
 def hotspot_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hotspots.hotspot(churn.churn_files(tables.commit_files(spark, sf_dir)), tables.functions(spark, sf_dir), 2.0, 3.0)
+    return hotspots.hotspot(churn_files(spark, sf_dir), tables.functions(spark, sf_dir), 2.0, 3.0)
 
 
 @query(f"{HOT}, q AS (SELECT quantile_cont(score, 0.9) p90 FROM hs) SELECT path, score, score >= 22 AND score >= p90 hot FROM hs CROSS JOIN q")
@@ -311,7 +311,7 @@ TEST_HOT = f"WITH {CF}, {CHURN}, {COV} SELECT path, commits, round(coalesce(100
 
 @query(TEST_HOT)
 def test_hotspot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = hotspots.test_hotspot(churn.churn_files(tables.commit_files(spark, sf_dir)), _coverage(spark, sf_dir).where("lines_found > 20"))
+    out = hotspots.test_hotspot(churn_files(spark, sf_dir), _coverage(spark, sf_dir).where("lines_found > 20"))
     return out.select("path", "commits", rounded("uncovered_pct"), rounded("score"))
 
 

@@ -5,16 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.spread import spread
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def commit_files(spark: SparkSession, sf_dir: str, dense: bool = False) -> DataFrame:
-    """An order as a commit, its parts (or suppliers, which all meet often) as files."""
+def commit_files(spark: SparkSession, sf_dir: str, dense: bool = False, by: tuple[str, ...] = ("sha", "path")) -> DataFrame:
+    """An order as a commit, its parts (or suppliers, which all meet often) as files; a row for each
+    commit and file.  ``by``: the columns whose rows are in one task (rows hardly repeat, so they are
+    dealt out before they are summed, not after)."""
     path = F.concat(F.lit("s/" if dense else "p/"), F.col("l_suppkey" if dense else "l_partkey").cast("string"))
     rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("string").alias("sha"), path.alias("path"), F.unix_timestamp("l_shipdate").alias("t"), F.floor("l_quantity").alias("q"), F.col("l_linenumber").alias("n"))
-    return rows.groupBy("sha", "path").agg(F.min("t").alias("ts"), F.sum("q").cast("long").alias("added"), F.sum("n").cast("long").alias("deleted"))
+    return spread(rows, *by).groupBy("sha", "path").agg(F.min("t").alias("ts"), F.sum("q").cast("long").alias("added"), F.sum("n").cast("long").alias("deleted"))
 
 
 def functions(spark: SparkSession, sf_dir: str) -> DataFrame:
