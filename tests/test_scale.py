@@ -69,7 +69,7 @@ def test_a_class_over_several_batches(spark, monkeypatch):
     assert {tuple(r) for r in got} == {("a", 1, 1), ("b", 3, 9), ("c", 1, 2), (None, 2, 5), ("d", 4, 16)}
 
 
-@pytest.mark.parametrize("name", ["churn_files"])
+@pytest.mark.parametrize("name", ["churn_files", "worst_churn"])
 def test_changes_are_dealt_out_before_they_are_summed(spark, monkeypatch, name):
     """As many tasks as the table asks for; before, the session's number held the sums of any input."""
     monkeypatch.setattr(spread, "TASK_BYTES", 1 << 12)
