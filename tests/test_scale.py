@@ -7,7 +7,8 @@ import random
 import pytest
 from conftest import SF
 
-from vitalgauge.operators import churn, graphs, spread
+from vitalgauge.operators import churn, coupling, graphs, spread
+from vitalgauge.params import Params
 from vitalgauge.plans import catalogue
 
 
@@ -83,3 +84,17 @@ def test_a_commit_of_one_file_in_two_rows(spark):
     rows = spark.createDataFrame([("1", "a", 1, 0), ("1", "a", 2, 0), ("2", "a", 1, 1), (None, "a", 1, 0)], "sha string, path string, added long, deleted long")
     assert [tuple(r) for r in churn.churn_files(rows).collect()] == [("a", 2, 5, 1)]
     assert [tuple(r) for r in churn.churn_files(rows.where("added <> 2"), unique=True).collect()] == [("a", 2, 3, 1)]
+
+
+@pytest.mark.parametrize("name", ["worst_sums"])
+def test_roles_are_asked_of_files_and_not_of_pairs(spark, name):
+    """Their patterns come with the files' counts; before, the optimizer asked them of each pair before it was counted."""
+    plan = plan_of(catalogue.QUERIES[name](spark, SF))
+    assert "explode(slice" in plan and not any("Filter" in line and "CASE WHEN" in line for line in plan.splitlines())
+
+
+def test_heads_of_commits_that_name_a_file_twice(spark):
+    """A commit counts once, whatever its rows; one above the cap and rows without a commit don't count."""
+    rows = [("1", "a"), ("1", "a"), ("1", "b"), ("2", "a"), ("2", "b"), (None, "a"), ("3", None), *(("4", f"f{i}") for i in range(60))]
+    got = coupling.coupling(spark.createDataFrame(rows, "sha string, path string"), Params(min_coupling=1, min_lift=0.0))
+    assert [tuple(r) for r in got.select("a", "b", "count", "count_a", "count_b", "lift").collect()] == [("a", "b", 2, 2, 2, 1.5)]
