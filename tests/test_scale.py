@@ -86,7 +86,7 @@ def test_a_commit_of_one_file_in_two_rows(spark):
     assert [tuple(r) for r in churn.churn_files(rows.where("added <> 2"), unique=True).collect()] == [("a", 2, 3, 1)]
 
 
-@pytest.mark.parametrize("name", ["worst_sums", "coupling_direction", "coupling_lift", "coupling_sums", "worst_pairs"])
+@pytest.mark.parametrize("name", ["worst_sums", "coupling_direction", "coupling_lift", "coupling_sums", "worst_pairs", "coupling_pairs"])
 def test_roles_are_asked_of_files_and_not_of_pairs(spark, name):
     """Their patterns come with the files' counts; before, the optimizer asked them of each pair before it was counted."""
     plan = plan_of(catalogue.QUERIES[name](spark, SF))
