@@ -6,7 +6,9 @@ import random
 
 import pytest
 from conftest import SF
+from pyspark.sql import functions as F
 
+from vitalgauge.functions import hashing
 from vitalgauge.operators import churn, coupling, graphs, spread
 from vitalgauge.params import Params
 from vitalgauge.plans import catalogue
@@ -98,3 +100,12 @@ def test_heads_of_commits_that_name_a_file_twice(spark):
     rows = [("1", "a"), ("1", "a"), ("1", "b"), ("2", "a"), ("2", "b"), (None, "a"), ("3", None), *(("4", f"f{i}") for i in range(60))]
     got = coupling.coupling(spark.createDataFrame(rows, "sha string, path string"), Params(min_coupling=1, min_lift=0.0))
     assert [tuple(r) for r in got.select("a", "b", "count", "count_a", "count_b", "lift").collect()] == [("a", "b", 2, 2, 2, 1.5)]
+
+
+def test_ids_of_many_at_once(spark):
+    """The hash of a batch is that of each; a function is numbered by one window for both its metrics."""
+    rows = [("ccn", "a.py", "f", "ccn:1"), ("hotspot", "ü/ñ.rs", None, ""), ("ccn", None, "", None), ("x", "p" * 300, "s", "y")]
+    got = spark.createDataFrame(rows, "metric string, file string, symbol string, seed string").select(hashing.finding_id(*map(F.col, ("metric", "file", "symbol", "seed"))))
+    assert [r[0] for r in got.collect()] == [hashing.make_id(m, f or "", s, x or "") for m, f, s, x in rows]
+    assert hashing.fnv1a_all([b"", b"ab", b"a"]).tolist() == [hashing.fnv1a(x) for x in (b"", b"ab", b"a")]
+    assert plan_of(catalogue.status_findings(spark, SF)).count("Window [row_number") == 1
