@@ -109,3 +109,10 @@ def test_ids_of_many_at_once(spark):
     assert [r[0] for r in got.collect()] == [hashing.make_id(m, f or "", s, x or "") for m, f, s, x in rows]
     assert hashing.fnv1a_all([b"", b"ab", b"a"]).tolist() == [hashing.fnv1a(x) for x in (b"", b"ab", b"a")]
     assert plan_of(catalogue.status_findings(spark, SF)).count("Window [row_number") == 1
+
+
+def test_files_are_dealt_out_as_the_input_asks(spark, monkeypatch):
+    """A task's share of the labels doesn't grow with the table; before, the session's number held them."""
+    monkeypatch.setattr(spread, "TASK_BYTES", 1 << 12)
+    plan = plan_of(catalogue.QUERIES["file_labels"](spark, SF))
+    assert "REPARTITION_BY_NUM" in plan and plan.count("Exchange hashpartitioning(file") == 1

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import hashing, paths, severity
 from ..params import DEFAULT, Params, policy_for
+from .spread import spread
 
 LOCATION = "struct<file:string,line:int,symbol:string>"
 SCHEMA = (
@@ -179,7 +180,9 @@ def sections(findings: DataFrame, top: int | None = None) -> DataFrame:
 def file_labels(findings: DataFrame) -> DataFrame:
     """file, labels: a line for each file of a section, equal neighbours as ``label(n)``."""
     label = short_label(F.col("metric"), F.col("summary"))
-    rows = findings.select(F.col("location.file").alias("file"), label.alias("label"), F.row_number().over(Window.partitionBy("location.file").orderBy(*worst_first(), "summary")).alias("at"))
+    rows = spread(findings.select(F.col("location.file").alias("file"), label.alias("label"), "severity_rank", "hotspot", "metric", "id", "summary"), "file")
+    order = [F.desc("severity_rank"), F.desc("hotspot"), F.asc("metric"), F.asc("id"), F.asc("summary")]  # worst first in one file
+    rows = rows.select("file", "label", F.row_number().over(Window.partitionBy("file").orderBy(*order)).alias("at"))
     runs = run_labels(rows, "file", "at", "label")
     one = F.when(F.col("n") > 1, F.concat("label", F.lit("("), F.col("n").cast("string"), F.lit(")"))).otherwise(F.col("label"))
     return runs.groupBy("file").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("run", one.alias("text")))), lambda x: x["text"]), "  ").alias("labels"))
