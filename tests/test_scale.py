@@ -9,7 +9,7 @@ from conftest import SF
 from pyspark.sql import functions as F
 
 from vitalgauge.functions import hashing
-from vitalgauge.operators import churn, coupling, graphs, spread
+from vitalgauge.operators import churn, coupling, duplication, graphs, spread
 from vitalgauge.params import Params
 from vitalgauge.plans import catalogue
 
@@ -116,3 +116,18 @@ def test_files_are_dealt_out_as_the_input_asks(spark, monkeypatch):
     monkeypatch.setattr(spread, "TASK_BYTES", 1 << 12)
     plan = plan_of(catalogue.QUERIES["file_labels"](spark, SF))
     assert "REPARTITION_BY_NUM" in plan and plan.count("Exchange hashpartitioning(file") == 1
+
+
+@pytest.mark.parametrize("name", ["dup_windows"])
+def test_windows_are_dealt_out_once(spark, name):
+    """One shuffle by hash; before, sums by hash and path were moved, and then by hash."""
+    plan = plan_of(catalogue.QUERIES[name](spark, SF))
+    assert plan.count("Exchange hashpartitioning(h#") == 1 and "REPARTITION" in plan
+
+
+def test_windows_of_a_path_in_two_rows(spark):
+    """A path on two rows is one file; a file shorter than a window has no row; a path may be null."""
+    rows = [("a", "x y z"), ("a", "x y q"), ("b", "x y z"), (None, "q r"), ("c", "x")]
+    files = spark.createDataFrame(rows, "path string, t string").select("path", F.split("t", " ").alias("tokens"))
+    assert sorted(map(tuple, duplication.shared_windows(files, 2).drop("h").collect())) == [(2, 2, "a"), (3, 2, "a")]
+    assert {tuple(r) for r in duplication.shared_in_files(files, 2).collect()} == {("a", 4, 3), ("b", 2, 2), (None, 1, 0)}

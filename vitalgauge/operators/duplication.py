@@ -10,10 +10,11 @@ from __future__ import annotations
 from collections.abc import Iterable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import graphs
+from .spread import spread
 
 BLOCKS = "block long, tokens long, path string, start_line long, end_line long, start_pos long"
 
@@ -39,9 +40,25 @@ def windows(files: DataFrame, size: int) -> DataFrame:
 
 
 def shared_windows(files: DataFrame, size: int) -> DataFrame:
-    """h, times, files, first of the windows that occur at least twice."""
-    out = windows(files, size).groupBy("h").agg(F.count("*").alias("times"), F.count_distinct("path").alias("files"), F.min("path").alias("first"))
-    return out.where("times >= 2")
+    """h, times, files, first of the windows that occur at least twice.
+
+    Most windows occur once, so nothing is gained by summing before the shuffle; they are dealt out
+    once, by their hashes, and all that is asked of them is found where they are.
+    """
+    dealt = spread(windows(files, size).select("h", "path"), "h")
+    repeated = dealt.withColumn("times", F.count("*").over(Window.partitionBy("h"))).where("times >= 2")
+    per = repeated.groupBy("h", "path").agg(F.first("times").alias("times"))
+    return per.groupBy("h").agg(F.first("times").alias("times"), F.count("path").alias("files"), F.min("path").alias("first"))
+
+
+def shared_in_files(files: DataFrame, size: int) -> DataFrame:
+    """path, windows, shared: a file's windows, and how many of them occur at least twice in all
+    files.  What a file has is known from its length, so only shared windows go back to their files."""
+    dealt = spread(windows(files, size).select("h", "path"), "h")
+    shared = dealt.withColumn("times", F.count("*").over(Window.partitionBy("h"))).where("times >= 2").groupBy("path").agg(F.count("*").alias("n"))
+    all_ = files.where(F.size("tokens") >= size).groupBy("path").agg(F.sum(F.size("tokens") - F.lit(size - 1)).cast("long").alias("windows"))
+    one = shared.select(F.col("path").alias("of"), "n")
+    return all_.join(one, F.col("path").eqNullSafe(F.col("of")), "left").select("path", "windows", F.coalesce("n", F.lit(0)).alias("shared"))
 
 
 def greedy(tokens: list[list[str]], size: int) -> list[tuple[int, list[tuple[int, int]]]]:

@@ -449,9 +449,7 @@ def dup_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {WINDOWS} SELECT path, count(*) windows, count(*) FILTER (h IN (SELECT h FROM g)) shared FROM x GROUP BY path")
 def dup_doc_pct(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = duplication.windows(_words(spark, sf_dir), DUP_SIZE)
-    twice = w.groupBy("h").agg(F.count("*").alias("n")).where("n >= 2").select("h", F.lit(1).alias("one"))
-    return w.join(twice, "h", "left").groupBy("path").agg(F.count("*").alias("windows"), F.count("one").alias("shared"))
+    return duplication.shared_in_files(_words(spark, sf_dir), DUP_SIZE)
 
 
 CODE = [("a.py", "x = 1\ndef f(a, b):\n    return a + b * 2 - 1\n"), ("b.py", "y = 2\ny = 3\ndef f(a, b):\n    return a + b * 2 - 1\nz = 9\n"), ("c.py", "q()\n")]
