@@ -118,7 +118,7 @@ def test_files_are_dealt_out_as_the_input_asks(spark, monkeypatch):
     assert "REPARTITION_BY_NUM" in plan and plan.count("Exchange hashpartitioning(file") == 1
 
 
-@pytest.mark.parametrize("name", ["dup_windows"])
+@pytest.mark.parametrize("name", ["dup_windows", "dup_doc_pct"])
 def test_windows_are_dealt_out_once(spark, name):
     """One shuffle by hash; before, sums by hash and path were moved, and then by hash."""
     plan = plan_of(catalogue.QUERIES[name](spark, SF))
